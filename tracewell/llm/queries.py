@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, pii, quality, sharding, simhash, token_counts
+from . import decontamination, embeddings, licenses, mixing, pii, quality, sharding, simhash, substrings, token_counts
 from ._work import table
 
 
@@ -27,6 +27,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, reach=3).drop("kept")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.TARGETS)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -35,6 +43,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edits=0.2, recall=0.95)
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"), least=50, similar=0.8)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
 
@@ -47,8 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
+        "op3_mixing": op3_mixing,
+        "op4_licenses": op4_licenses,
         "op5_embeddings": op5_embeddings,
         "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
+        "op8_substrings": op8_substrings,
         "op9_quality": op9_quality,
         "op10_pii": op10_pii,
     }

@@ -151,14 +151,14 @@ def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataF
     return result
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 12, similar: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 12, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of near copies: five-word shingles, similarity at least ``similar``.
 
     Two documents link where their fingerprints differ in ``reach`` bits at most, their lengths
     allow that similarity and their shingle sketches show it. Equal texts are joined by checksum
     first. Cases as for ``simhash_components``; texts without words are one group.
     """
-    marked, _ = stash(fingerprints(docs, words, sketched=True), "nearcopies")
+    marked, _ = stash(fingerprints(docs, words, True, id_col, text_col), "nearcopies")
     marked = marked.withColumn("key", F.xxhash64("fp", "size", "sketch"))
     groups = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
     edges = fingerprint_links(groups, vptree.Rule(reach, ratio=similar, similar=similar))
@@ -166,3 +166,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 12, similar: f
     class_of = groups.select("key", "least").join(roots, F.col("key") == F.col("vertex"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(class_of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, reach: int = 12, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of ``near_duplicates`` the smallest doc_id stays.
+
+    Cases: of rows that repeat an id one stays; rows without an id cannot be named and stay.
+    """
+    classes, _ = stash(near_duplicates(docs, words, reach, similar, id_col, text_col), "classes")
+    named = classes.where("doc_id is not null")
+    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    left = docs.join(gone.where("first <> doc_id").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    again = gone.where("first = doc_id and n > 1").select(F.col("doc_id").alias(id_col))
+    if not again.limit(1).count():
+        return left
+    once = left.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
