@@ -19,7 +19,7 @@ from .components import components
 #: Fingerprints that the top tree is fitted on, at most.
 SAMPLE = 4096
 #: Fingerprints that a shard aims at, and of a block where no split helps.
-SHARD = 20_000
+SHARD = 65_536
 #: Bins of the one-permutation sketch that estimates shingle similarity.
 BINS = 128
 
