@@ -1,0 +1,48 @@
+"""First usable value among the alias keys of a JSON object whose fields are variants."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .ip import normalize_ip
+
+_NUMBER = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _text(value: Column) -> Column:
+    """Text of a string, number or boolean; null of anything else."""
+    plain = F.try_variant_get(value, "$", "string")
+    double = F.try_variant_get(value, "$", "double")
+    number = F.when(_kind(value).rlike("^(DOUBLE|DECIMAL.*)$") & (double == F.floor(double)) & (F.abs(double) < 1e18), double.cast("bigint").cast("string")).otherwise(plain)
+    return F.when(_kind(value).isin("STRING", "BOOLEAN"), plain).when(_kind(value).rlike(_NUMBER), number)
+
+
+def first_text(record: Column, keys: tuple[str, ...]) -> Column:
+    """Text of the first key that holds a string, number or boolean."""
+    return F.coalesce(*(_text(record[k]) for k in keys))
+
+
+def first_uint(record: Column, keys: tuple[str, ...]) -> Column:
+    """The first key that holds a number (its fraction dropped) or digits; a negative number ends the search with null."""
+    def step(rest: Column | None, key: str) -> Column:
+        value = record[key]
+        kind, text = _kind(value), F.try_variant_get(value, "$", "string")
+        whole = F.coalesce(F.try_variant_get(value, "$", "bigint"), F.try_variant_get(value, "$", "double").try_cast("bigint"))
+        digits = F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+        found = F.when(kind.rlike(_NUMBER), F.when(F.try_variant_get(value, "$", "double") >= 0, whole))
+        found = found.when((kind == "STRING") & digits.isNotNull(), digits)
+        return found.otherwise(rest) if rest is not None else found
+
+    return reduce(step, reversed(keys), None)
+
+
+def first_ip(record: Column, keys: tuple[str, ...]) -> Column:
+    """Address of the first text among the keys; a text that is no address gives null, without a look further."""
+    return normalize_ip(first_text(record, keys))
