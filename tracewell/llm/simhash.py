@@ -21,7 +21,7 @@ SAMPLE = 4096
 #: Fingerprints that a shard aims at, and of a block where no split helps.
 SHARD = 65_536
 #: Bins of the one-permutation sketch that estimates shingle similarity.
-BINS = 128
+BINS = 256
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.uint16) * 256
@@ -57,7 +57,7 @@ def sketch(hashes: np.ndarray) -> bytes:
     out = np.zeros(BINS, dtype=np.uint16)
     if len(hashes):
         h = np.unique(hashes.view(">u8").ravel().astype(np.uint64))
-        bins = (h >> np.uint64(57)).astype(np.int64)
+        bins = (h >> np.uint64(56)).astype(np.int64)
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         out[bins[first]] = 1 + ((h[first] >> np.uint64(20)) % np.uint64(65_535)).astype(np.uint16)
     return out.tobytes()
@@ -151,7 +151,7 @@ def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataF
     return result
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 12, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 16, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of near copies: five-word shingles, similarity at least ``similar``.
 
     Two documents link where their fingerprints differ in ``reach`` bits at most, their lengths
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 12, similar: f
     return marked.join(class_of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, reach: int = 12, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, reach: int = 16, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of ``near_duplicates`` the smallest doc_id stays.
 
     Cases: of rows that repeat an id one stays; rows without an id cannot be named and stay.
