@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ip import normalize_ip
-
 _NUMBER = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
 
@@ -42,7 +40,3 @@ def first_uint(record: Column, keys: tuple[str, ...]) -> Column:
 
     return reduce(step, reversed(keys), None)
 
-
-def first_ip(record: Column, keys: tuple[str, ...]) -> Column:
-    """Address of the first text among the keys; a text that is no address gives null, without a look further."""
-    return normalize_ip(first_text(record, keys))

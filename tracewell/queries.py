@@ -59,21 +59,21 @@ def _pick(values: tuple, index: Column) -> Column:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection of ``events``, typed as ``TELEMETRY`` with ``seq`` and the address as text."""
-    e = _read(spark, sf_dir, "events")
+    e = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     event, user = F.col("event_id"), F.col("user_id")
     text = F.concat_ws(".", F.lit("10"), (user % 256).cast("string"), (event % 7).cast("string"), (1 + event % 254).cast("string"))
-    return e.select(
+    rows = e.withColumn("srcip_text", text).select(
         event.alias("seq"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp"),
-        normalize_ip(text).alias("srcip"),
+        F.col("srcip_text"),
         _pick(PORTS, event % 6).cast("bigint").alias("dstport"),
         _pick(PROTOCOLS, event % 6).alias("protocol"),
         _pick(ASNS, user % 5).cast("bigint").alias("asn"),
         F.when(event % 7 != 0, _pick(COUNTRIES, user % 5)).alias("country"),
         F.col("event_type").alias("eventtype"),
         F.round(F.col("value") * 100).cast("bigint").alias("bytes"),
-        text.alias("srcip_text"),
     )
+    return rows.withColumn("srcip", normalize_ip(F.col("srcip_text")))
 
 
 def _register(name: str, run: Query, sql: str | None) -> None:
@@ -139,7 +139,7 @@ _register("ip_normalize_v4", lambda s, d: telemetry(s, d).select("seq", F.hex("s
 _register("ip_format_v4", lambda s, d: telemetry(s, d).select("seq", format_ip(F.col("srcip")).alias("srcip")), f"SELECT seq, srcip_text AS srcip FROM {T}")
 _register(
     "ip_v6_roundtrip",
-    lambda s, d: _read(s, d, "events").select("event_id", format_ip(normalize_ip(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") + 1)), F.lit(":0:"), F.lower(F.hex(F.col("event_id") % 65535 + 1))))).alias("ip")),
+    lambda s, d: _read(s, d, "events").select("event_id", F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") + 1)), F.lit(":0:"), F.lower(F.hex(F.col("event_id") % 65535 + 1))).alias("ip")).select("event_id", normalize_ip(F.col("ip")).alias("ip")).select("event_id", format_ip(F.col("ip")).alias("ip")),
     "SELECT event_id, '2001:db8::' || lower(to_hex(user_id + 1)) || ':0:' || lower(to_hex(event_id % 65535 + 1)) AS ip FROM events",
 )
 _register("cidr_count", lambda s, d: telemetry(s, d).where(in_network(F.col("srcip"), "10.16.0.0/12")).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {T} WHERE split_part(srcip_text, '.', 2)::INT BETWEEN 16 AND 31")

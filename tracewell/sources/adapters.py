@@ -1,7 +1,9 @@
 """Adapters: a line of a known log format to a typed record, all in Column expressions.
 
-An adapter's ``decode`` turns the line column into a struct of its schema, null where the line is to
-be skipped. A bad field inside a good line is null; no line fails a job.
+An adapter's ``decode`` adds a struct of its schema to the lines, null where a line is to be skipped.
+A bad field inside a good line is null; no line fails a job. Decoding goes in steps, a projection
+each, so that what several fields need is computed once; a partition number in the first keeps the
+optimizer from copying all of it into the filter on skipped lines.
 """
 
 from __future__ import annotations
@@ -9,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ip import normalize_ip
 from ..functions.text import ascii_upper, split_clf, trim_blank
 from ..functions.timeparse import clf_time_ns, parse_time_ns
-from ..functions.variants import first_ip, first_text, first_uint
+from ..functions.variants import first_text, first_uint
 from ..types import GENERIC_FLOW, HONEYPOT, WEB_ACCESS, Schema, TracewellError
 
 
@@ -23,7 +25,7 @@ from ..types import GENERIC_FLOW, HONEYPOT, WEB_ACCESS, Schema, TracewellError
 class Adapter:
     name: str
     schema: Schema
-    decode: Callable[[Column], Column]
+    decode: Callable[[DataFrame, str], DataFrame]  # lines and the name of their text column
 
 
 _registry: dict[str, Adapter] = {}
@@ -72,42 +74,49 @@ HONEYPOT_KEYS = {
 }
 
 
-def _json_decoder(schema: Schema, keys: dict[str, tuple[str, ...]]) -> Callable[[Column], Column]:
+def _hold():
+    return F.spark_partition_id().alias("_part")
+
+
+def _json_decoder(schema: Schema, keys: dict[str, tuple[str, ...]]) -> Callable[[DataFrame, str], DataFrame]:
     wanted = dict.fromkeys(k for names_ in keys.values() for k in names_)
     shape = ", ".join(f"`{k}` variant" for k in wanted) + ", `_bad` string"
-
-    def decode(line: Column) -> Column:
-        record = F.from_json(line, shape, {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"})
-        of = {"timestamp": lambda c: parse_time_ns(first_text(record, keys[c])), "ip": lambda c: first_ip(record, keys[c]), "port": lambda c: first_uint(record, keys[c]), "uint": lambda c: first_uint(record, keys[c])}
-        fields = {c.name: of.get(c.logical, lambda n: first_text(record, keys[n]))(c.name) for c in schema.columns}
-        fields["country"] = ascii_upper(fields["country"])
-        whole = F.struct(*(v.alias(k) for k, v in fields.items()))
-        usable = (trim_blank(line) != "") & record["_bad"].isNull() & fields["timestamp"].isNotNull()
-        return F.when(usable, whole)
+    first = {"uint": first_uint, "port": first_uint}
+    last = {"timestamp": parse_time_ns, "ip": normalize_ip}
+
+    def decode(lines: DataFrame, column: str) -> DataFrame:
+        kept = [F.col(f"`{c}`") for c in lines.columns]
+        record = F.from_json(F.col(f"`{column}`"), shape, {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"})
+        parsed = lines.select(*kept, record.alias("_record"), _hold())
+        raw = parsed.select(*kept, (F.col("_record._bad").isNull() & (F.col("_part") >= 0)).alias("_whole"), *(first.get(c.logical, first_text)(F.col("_record"), keys[c.name]).alias(f"_{c.name}") for c in schema.columns))
+        typed = raw.select(*kept, "_whole", *((ascii_upper if c.name == "country" else last.get(c.logical, lambda x: x))(F.col(f"_{c.name}")).alias(f"_{c.name}") for c in schema.columns))
+        usable = F.col("_whole") & (trim_blank(F.col(f"`{column}`")) != "") & F.col("_timestamp").isNotNull()
+        return typed.select(*kept, F.when(usable, F.struct(*(F.col(f"_{c.name}").alias(c.name) for c in schema.columns))).alias("record"))
 
     return decode
 
 
-def _decode_web(line: Column) -> Column:
-    text = trim_blank(line)
-    tokens = split_clf(text)
-    token = lambda i: F.try_element_at(tokens, F.lit(i + 1))
-    request = F.split(token(4), " ", 3)
+def _decode_web(lines: DataFrame, column: str) -> DataFrame:
+    kept = [F.col(f"`{c}`") for c in lines.columns]
+    trimmed = lines.select(*kept, trim_blank(F.col(f"`{column}`")).alias("_text"), _hold())
+    split = trimmed.select(*kept, "_text", "_part", split_clf(F.col("_text")).alias("_tokens"))
+    token = lambda i: F.try_element_at(F.col("_tokens"), F.lit(i + 1))
+    parts = split.select(*kept, "_text", "_part", "_tokens", token(0).alias("_host"), clf_time_ns(token(3)).alias("_time"), F.split(token(4), " ", 3).alias("_request"))
     digits = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
     said = lambda c: F.when((c != "") & (c != "-"), c)
-    extra = F.size(tokens) >= 9
+    extra = F.size("_tokens") >= 9
     record = F.struct(
-        clf_time_ns(token(3)).alias("timestamp"),
-        normalize_ip(token(0)).alias("srcip"),
-        F.try_element_at(request, F.lit(1)).alias("method"),
-        F.try_element_at(request, F.lit(2)).alias("path"),
+        F.col("_time").alias("timestamp"),
+        normalize_ip(F.col("_host")).alias("srcip"),
+        F.try_element_at("_request", F.lit(1)).alias("method"),
+        F.try_element_at("_request", F.lit(2)).alias("path"),
         digits(token(5)).alias("status"),
         F.coalesce(digits(token(6)), F.lit(0).cast("bigint")).alias("bytes"),
         F.when(extra, said(token(7))).alias("referer"),
         F.when(extra, said(token(8))).alias("useragent"),
     )
-    usable = (text != "") & ~text.startswith("#") & (F.size(tokens) >= 7) & (F.size(request) >= 2) & clf_time_ns(token(3)).isNotNull()
-    return F.when(usable, record)
+    usable = (F.col("_part") >= 0) & (F.col("_text") != "") & ~F.col("_text").startswith("#") & (F.size("_tokens") >= 7) & (F.size("_request") >= 2) & F.col("_time").isNotNull()
+    return parts.select(*kept, F.when(usable, record).alias("record"))
 
 
 register(Adapter("generic-flow", GENERIC_FLOW, _json_decoder(GENERIC_FLOW, FLOW_KEYS)))
@@ -117,7 +126,7 @@ register(Adapter("web-access", WEB_ACCESS, _decode_web))
 
 def decode_lines(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
     """``record`` (null where a line is skipped) beside the other columns of ``lines``."""
-    return lines.withColumn("record", get(source).decode(F.col(column)))
+    return get(source).decode(lines, column)
 
 
 def records(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
