@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -83,3 +84,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def suspects(rows: DataFrame, id_col: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` with ``_suspect``: whether the id may be among ``ids`` (one column), by a broadcast bitmap.
+
+    The bitmap has 2^``bits`` places for hashed ids, two megabytes at most, so wide rows that are
+    certainly not named need no shuffle; the suspects are then joined exactly. A null id is no suspect.
+    """
+    name = ids.columns[0]
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits)) + 1
+    maps = ids.select(place(name).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place(id_col))).withColumn("_bit", F.bitmap_bit_position(place(id_col)))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit: Column = F.floor(byte / F.pow(F.lit(2.0), F.col("_bit") % 8)) % 2 == 1
+    return placed.join(F.broadcast(maps), "_bucket", "left").select(*(F.col(f"`{c}`") for c in rows.columns), (F.coalesce(hit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).alias("_suspect"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from ._work import ship, slices, stash, text_views
+from ._work import ship, slices, stash, suspects, text_views
 from .components import components
 
 #: Fingerprints that the top tree is fitted on, at most.
@@ -176,7 +176,10 @@ def one_of_each(docs: DataFrame, words: int = 5, reach: int = 16, similar: float
     classes, _ = stash(near_duplicates(docs, words, reach, similar, id_col, text_col), "classes")
     named = classes.where("doc_id is not null")
     gone = named.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
-    left = docs.join(gone.where("first <> doc_id").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    losers, _ = stash(gone.where("first <> doc_id").select(F.col("doc_id").alias(id_col)), "losers")
+    marked = suspects(docs, id_col, losers)
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    left = marked.where("not _suspect").select(*whole).unionByName(marked.where("_suspect").join(losers, id_col, "left_anti").select(*whole))
     again = gone.where("first = doc_id and n > 1").select(F.col("doc_id").alias(id_col))
     if not again.limit(1).count():
         return left
