@@ -151,7 +151,7 @@ def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataF
     return result
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 16, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 18, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of near copies: five-word shingles, similarity at least ``similar``.
 
     Two documents link where their fingerprints differ in ``reach`` bits at most, their lengths
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 16, similar: f
     return marked.join(class_of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, reach: int = 16, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, reach: int = 18, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of ``near_duplicates`` the smallest doc_id stays.
 
     Cases: of rows that repeat an id one stays; rows without an id cannot be named and stay.
