@@ -36,12 +36,12 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
-def show(result: DataFrame, schema: Schema, out=sys.stdout) -> None:
+def show(result: DataFrame, schema: Schema, out=None) -> None:
     """Rows as text with tabs between cells, under a line of names. Results are bounded by their limit."""
     text = format_result(result, schema)
-    print("\t".join(text.columns), file=out)
+    print("\t".join(text.columns), file=out or sys.stdout)
     for row in text.toLocalIterator():
-        print("\t".join(row), file=out)
+        print("\t".join(row), file=out or sys.stdout)
 
 
 def main(argv: list[str] | None = None) -> int:
