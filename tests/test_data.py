@@ -157,3 +157,25 @@ def test_bytes_codecs(spark):
 def test_addresses_survive_storage(spark, tmp_path):
     adapters.records(datagen.generate(spark, "web-access", 50), "web-access").write.parquet(str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).where(format_ip(F.col("srcip")).rlike("^[0-9.]+$")).count() == 50
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "r"))
+    stats_ = store.footer_stats(spark, str(tmp_path / "r"), "id")
+    assert tuple(stats_.first()) == (1000, 0, 999)
+    assert "PushedAggregation: [COUNT(*)" in stats_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_columns_have_bloom_filters(spark, tmp_path):
+    """Where a dictionary outgrows its page; small dictionaries prune by themselves and need no filter."""
+    rows = spark.range(150_000).select((F.col("id") * 10**6).alias("timestamp"), F.lit(bytearray(16)).alias("srcip"), F.col("id").alias("srcport"), F.lit(22).cast("bigint").alias("dstport"), F.lit("ssh").alias("protocol"), F.lit("scan").alias("eventtype"), F.md5(F.col("id").cast("string")).alias("username"), F.md5((F.col("id") + 1).cast("string")).alias("password"), F.lit("CN").alias("country"), F.col("id").alias("asn"))
+    store.write_table(rows.coalesce(1), str(tmp_path / "t"), HONEYPOT, store.WriteOptions(distinct={"username": 150_000}))
+    part = next(str(p) for p in (tmp_path / "t").iterdir() if p.name.startswith("part-"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(part), conf))
+    try:
+        chunks = {c.getPath().toDotString(): c for c in reader.getFooter().getBlocks().get(0).getColumns()}
+        assert chunks["username"].getBloomFilterOffset() > 0 and chunks["password"].getBloomFilterOffset() < 0  # password is not indexed
+        assert chunks["timestamp"].getCodec().toString() == "ZSTD" and "DELTA_BINARY_PACKED" in chunks["timestamp"].getEncodings().toString()
+    finally:
+        reader.close()

@@ -67,6 +67,20 @@ def read_table(spark: SparkSession, *paths: str) -> tuple[DataFrame, Schema]:
     return df, Schema(whole.name, tuple(c for c in whole.columns if c.name != "seq"))
 
 
+def footer_stats(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """rows, and min and max of the columns, from Parquet footers alone.
+
+    The aggregate is pushed into the scan, which the second-generation reader does; it is switched on
+    in a session of its own, so the caller's settings stay.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    bounds = [b for c in columns for b in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
+    return own.read.parquet(path).agg(F.count("*").alias("rows"), *bounds)
+
+
 def describe(schema: Schema) -> str:
     """A schema as JSON text."""
     return json.dumps({"id": schema.id, "name": schema.name, "version": schema.version, "columns": [vars(c) for c in schema.columns]}, indent=1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.ip import format_ip, in_network, normalize_ip
 from .functions.text import ascii_upper, split_clf, unzigzag, uvarint_len, zigzag
 from .functions.timeparse import epoch_to_ns, format_ns, parse_time_ns
-from .operators import catalog, codecs, indexes
+from .operators import catalog, codecs, indexes, store
 from .plans.compiler import compile, format_result, query, search
 from .plans.parser import parse
 from .sources import adapters, datagen
@@ -252,6 +252,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("stream_ingest", stream_ingest, f"SELECT * EXCLUDE (seq) FROM ({_FLOW_SQL})")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection written as a table with all write options, in two parts, and read back as one."""
+    at, t = _shared(spark, "table"), telemetry(spark, sf_dir)
+    for part in range(2):
+        store.write_table(t.where(F.col("seq") % 2 == part), f"{at}/{part}", TELEMETRY)
+    df, schema = store.read_table(spark, f"{at}/0", f"{at}/1")
+    return _as_text(query(df, schema, "SELECT * FROM t WHERE bytes > 100 LIMIT 100000000"))
+
+
+_register("store_roundtrip", store_roundtrip, f"SELECT {_ROW_SQL} FROM {T} WHERE bytes > 100")
+_register("footer_stats", lambda s, d: store.footer_stats(s, f"{d}/events.parquet", "event_id", "user_id"), "SELECT count(*) AS rows, min(event_id) AS event_id_min, max(event_id) AS event_id_max, min(user_id) AS user_id_min, max(user_id) AS user_id_max FROM events")
+_register("table_info", lambda s, d: s.createDataFrame([tuple(catalog.info(telemetry(s, d), TELEMETRY, SEGMENT)[k] for k in ("rows", "columns", "segments", "min_ts", "max_ts"))], "rows long, columns long, segments long, min_ts long, max_ts long"), f"SELECT count(*) AS rows, 8::BIGINT AS columns, CAST(ceil(count(*) / {SEGMENT}.0) AS BIGINT) AS segments, min(timestamp) AS min_ts, max(timestamp) AS max_ts FROM {T}")
 _register("datagen_decode", lambda s, d: s.createDataFrame([(n,) for n in datagen.SOURCES], "source string").join(_generated(s), "source").groupBy("source").agg(F.count("*").alias("lines"), F.count_if("ok").alias("records")), "SELECT unnest(['generic-flow', 'honeypot', 'web-access']) AS source, 2000::BIGINT AS lines, 2000::BIGINT AS records")
 
 
