@@ -21,8 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between Spark and a Python worker: texts may be long, so Spark's 10,000 are too many.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package even if the driver found it by ``sys.path``."""
+    """Let Python workers find this package even if the driver found it by ``sys.path``, and keep their batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -86,6 +93,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``rows`` rows or ``size`` bytes, where a larger one costs less a row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def suspects(rows: DataFrame, id_col: str, ids: DataFrame, bits: int = 24) -> DataFrame:
     """``rows`` with ``_suspect``: whether the id may be among ``ids`` (one column), by a broadcast bitmap.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship, slices, text_views
+from ._work import gathered, ship, text_views
 from .words import char_offset, number, plain_words, word_spans
 
 #: Places sampled for a table, tables taken from a walk, and tables at most.
@@ -220,7 +220,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, edits: float, recall: float,
 def _drop(index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in slices(batches, 2048):
+        for batch in gathered(batches, 2500):
             keep = np.ones(batch.num_rows, dtype=bool)
             if known.items:
                 keep[[m[0] for m in matches(known, [bytes(v) for v in text_views(batch, text_col)])]] = False
@@ -232,7 +232,7 @@ def _drop(index, text_col: str):
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in slices(batches, 2048) if known.items else ():
+        for batch in gathered(batches, 2500) if known.items else ():
             texts = [bytes(v) for v in text_views(batch, "text")]
             ids, out = batch.column(0).to_pylist(), []
             for doc, item, edits, a, b in matches(known, texts):
