@@ -236,8 +236,8 @@ def _search(index):
             texts = [bytes(v) for v in text_views(batch, "text")]
             ids, out = batch.column(0).to_pylist(), []
             for doc, item, edits, a, b in matches(known, texts):
-                spans = word_spans(texts[doc])
-                out.append((ids[doc], known.items[item][0], edits, len(known.items[item][1]), char_offset(texts[doc], spans[a][0]), char_offset(texts[doc], spans[b - 1][1])))
+                first, end = word_spans(texts[doc])
+                out.append((ids[doc], known.items[item][0], edits, len(known.items[item][1]), char_offset(texts[doc], first[a]), char_offset(texts[doc], end[b - 1])))
             if out:
                 cols = list(zip(*out))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())

@@ -151,9 +151,9 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cove
             for doc_id, view in zip(ids, text_views(batch, "text")):
                 text = bytes(view)
                 found = scan(index, text, coverage)
-                spans = word_spans(text) if found else []
+                first, end = word_spans(text) if found else ((), ())
                 for name, share, a, b in found:
-                    out.append((doc_id, *name.partition("/")[::2], share, char_offset(text, spans[a][0]), char_offset(text, spans[b - 1][1])))
+                    out.append((doc_id, *name.partition("/")[::2], share, char_offset(text, first[a]), char_offset(text, end[b - 1])))
             if out:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "license", "part", "coverage", "start", "end"])
