@@ -48,22 +48,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Stashes that were made and not discarded.
+_made: list[str] = []
+
+
 def stash(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until ``discard`` or ``sweep``, since plans made on it are evaluated later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str | None) -> None:
     """Delete a stash that no later plan reads."""
     if path:
+        if path in _made:
+            _made.remove(path)
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all stashes of this driver; call it once results are written."""
+    for path in list(_made):
+        discard(spark, path)
+
+
 def wide(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
