@@ -20,17 +20,18 @@ def epoch_to_ns(n: Column) -> Column:
     return F.when(n < 10**11, scaled(_NANOS)).when(n < 10**14, scaled(10**6)).when(n < 10**17, scaled(1000)).otherwise(n)
 
 
-def _part(text: Column, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, _TEXT, group), F.lit(""))
-
-
 def text_to_ns(text: Column) -> Column:
-    """Nanoseconds of RFC 3339 text, or of a date with a time and no zone (taken as UTC); else null."""
-    clock = F.coalesce(_part(text, 2), _part(text, 5))
-    zone = F.coalesce(_part(text, 4), F.lit("Z"))
-    seconds = F.unix_seconds(F.concat(_part(text, 1), F.lit("T"), clock, zone).try_cast("timestamp"))
-    fraction = F.rpad(F.substring(F.coalesce(_part(text, 3), _part(text, 6), F.lit("0")), 1, 9), 9, "0").cast("bigint")
-    return F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction)
+    """Nanoseconds of RFC 3339 text, or of a date with a time and no zone (taken as UTC); else null.
+
+    One pattern decides; the parts then lie at known places.
+    """
+    rest = F.substring(text, 20, 64)
+    sign = F.substring(rest, -6, 1)
+    zone = F.when(rest.endswith("Z"), F.lit("Z")).when((F.length(rest) >= 6) & sign.isin("+", "-"), F.substring(rest, -6, 6)).otherwise(F.lit(""))
+    seconds = F.unix_seconds(F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.coalesce(F.nullif(zone, F.lit("")), F.lit("Z"))).try_cast("timestamp"))
+    digits = F.when(rest.startswith(".") | rest.startswith(","), F.substring(rest, F.lit(2), F.length(rest) - 1 - F.length(zone))).otherwise(F.lit("0"))
+    fraction = F.rpad(F.substring(digits, 1, 9), 9, "0").cast("bigint")
+    return F.when(text.rlike(_TEXT), F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction))
 
 
 def parse_time_ns(text: Column) -> Column:

@@ -1,4 +1,8 @@
-"""First usable value among the alias keys of a JSON object whose fields are variants."""
+"""First usable value among the alias keys of a JSON object whose fields are variants.
+
+``kinds`` holds the kind of each key's value, computed in a projection before, since every rule asks
+for it; keys that are absent have none.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +11,37 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
+
+def kinds(record: Column, keys: list[str]) -> Column:
+    return F.struct(*(F.schema_of_variant(record[k]).alias(k) for k in keys))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _number(kind: Column) -> Column:
+    return (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
 
 
-def _text(value: Column) -> Column:
+def _text(value: Column, kind: Column) -> Column:
     """Text of a string, number or boolean; null of anything else."""
     plain = F.try_variant_get(value, "$", "string")
     double = F.try_variant_get(value, "$", "double")
-    number = F.when(_kind(value).rlike("^(DOUBLE|DECIMAL.*)$") & (double == F.floor(double)) & (F.abs(double) < 1e18), double.cast("bigint").cast("string")).otherwise(plain)
-    return F.when(_kind(value).isin("STRING", "BOOLEAN"), plain).when(_kind(value).rlike(_NUMBER), number)
+    whole = F.when((double == F.floor(double)) & (F.abs(double) < 1e18), double.cast("bigint").cast("string")).otherwise(plain)
+    return F.when((kind == "STRING") | (kind == "BIGINT") | (kind == "BOOLEAN"), plain).when(_number(kind), whole)
 
 
-def first_text(record: Column, keys: tuple[str, ...]) -> Column:
+def first_text(record: Column, kind: Column, keys: tuple[str, ...]) -> Column:
     """Text of the first key that holds a string, number or boolean."""
-    return F.coalesce(*(_text(record[k]) for k in keys))
+    return F.coalesce(*(_text(record[k], kind[k]) for k in keys))
 
 
-def first_uint(record: Column, keys: tuple[str, ...]) -> Column:
+def first_uint(record: Column, kind: Column, keys: tuple[str, ...]) -> Column:
     """The first key that holds a number (its fraction dropped) or digits; a negative number ends the search with null."""
+
     def step(rest: Column | None, key: str) -> Column:
-        value = record[key]
-        kind, text = _kind(value), F.try_variant_get(value, "$", "string")
+        value, of = record[key], kind[key]
         whole = F.coalesce(F.try_variant_get(value, "$", "bigint"), F.try_variant_get(value, "$", "double").try_cast("bigint"))
+        text = F.try_variant_get(value, "$", "string")
         digits = F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
-        found = F.when(kind.rlike(_NUMBER), F.when(F.try_variant_get(value, "$", "double") >= 0, whole))
-        found = found.when((kind == "STRING") & digits.isNotNull(), digits)
+        found = F.when(_number(of), F.when(F.try_variant_get(value, "$", "double") >= 0, whole)).when((of == "STRING") & digits.isNotNull(), digits)
         return found.otherwise(rest) if rest is not None else found
 
     return reduce(step, reversed(keys), None)
-

@@ -26,8 +26,12 @@ class WriteOptions:
 
     def parquet(self, schema: Schema) -> dict[str, str]:
         out = {"compression": self.compression, "parquet.writer.version": "PARQUET_2_0", "parquet.compression.codec.zstd.level": str(self.zstd_level), "parquet.block.size": str(self.block_bytes), "parquet.page.write-checksum.enabled": "true"}
-        for c in schema.columns if self.bloom else ():
-            if c.indexed:
+        # Filters sized by what a file holds; else each would take a megabyte.
+        out |= {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.fpp": "0.01"}
+        for c in schema.columns:
+            if c.logical == "timestamp" or not c.indexed and c.logical in ("uint", "port"):
+                out[f"parquet.enable.dictionary#{c.name}"] = "false"  # wide ranges pack better as deltas
+            if c.indexed and self.bloom:
                 out[f"parquet.bloom.filter.enabled#{c.name}"] = "true"
                 if n := (self.distinct or {}).get(c.name):
                     out[f"parquet.bloom.filter.expected.ndv#{c.name}"] = str(n)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import normalize_ip
 from ..functions.text import ascii_upper, split_clf, trim_blank
 from ..functions.timeparse import clf_time_ns, parse_time_ns
-from ..functions.variants import first_text, first_uint
+from ..functions.variants import first_text, first_uint, kinds
 from ..types import GENERIC_FLOW, HONEYPOT, WEB_ACCESS, Schema, TracewellError
 
 
@@ -88,7 +88,8 @@ def _json_decoder(schema: Schema, keys: dict[str, tuple[str, ...]]) -> Callable[
         kept = [F.col(f"`{c}`") for c in lines.columns]
         record = F.from_json(F.col(f"`{column}`"), shape, {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"})
         parsed = lines.select(*kept, record.alias("_record"), _hold())
-        raw = parsed.select(*kept, (F.col("_record._bad").isNull() & (F.col("_part") >= 0)).alias("_whole"), *(first.get(c.logical, first_text)(F.col("_record"), keys[c.name]).alias(f"_{c.name}") for c in schema.columns))
+        told = parsed.select(*kept, "_record", "_part", kinds(F.col("_record"), list(wanted)).alias("_kinds"))
+        raw = told.select(*kept, (F.col("_record._bad").isNull() & (F.col("_part") >= 0)).alias("_whole"), *(first.get(c.logical, first_text)(F.col("_record"), F.col("_kinds"), keys[c.name]).alias(f"_{c.name}") for c in schema.columns))
         typed = raw.select(*kept, "_whole", *((ascii_upper if c.name == "country" else last.get(c.logical, lambda x: x))(F.col(f"_{c.name}")).alias(f"_{c.name}") for c in schema.columns))
         usable = F.col("_whole") & (trim_blank(F.col(f"`{column}`")) != "") & F.col("_timestamp").isNotNull()
         return typed.select(*kept, F.when(usable, F.struct(*(F.col(f"_{c.name}").alias(c.name) for c in schema.columns))).alias("record"))
