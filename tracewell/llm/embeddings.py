@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import ship, slices, stash, wide
@@ -44,12 +44,18 @@ def choose_pivots(vectors: np.ndarray, total: int) -> np.ndarray:
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    x = np.array(batch.column(column).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+    x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
     # Scaled by the largest part first, so that no square overflows or vanishes.
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _vector(vectors: DataFrame, column: str) -> Column:
+    """The vectors in their own precision, float or double; a float moves in half the bytes and is the same number."""
+    kind = vectors.schema[column].dataType.simpleString()
+    return F.col(column) if kind == "array<float>" else F.col(column).cast("array<double>")
+
+
 def _counted(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, near: np.ndarray, block: np.ndarray, p: int, q: int, pair: int, least: float) -> tuple[np.ndarray, ...]:
     """(vec, links, root) of one list, or of two blocks of it."""
     marks = np.zeros((len(ids), q), dtype=np.float32)
@@ -82,7 +88,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     spark = vectors.sparkSession
     ship(spark)
     part = F.col("e")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _vector(vectors, vector_col).alias("e"), F.col(label_col).cast("string").alias("label"))
     good = F.col("label").isNotNull() & F.coalesce(F.size(part) > 0, F.lit(False)) & F.coalesce(F.forall(part, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(part, lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     # Equal vectors share a key of 128 bits; the key stands for them from here on.
@@ -131,7 +137,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
             head = {c: table.column(c)[0].as_py() for c in order}
             whole = table.combine_chunks().to_batches()[0]
             ids = whole.column(whole.schema.get_field_index("node")).to_numpy()
-            near = np.array(whole.column(whole.schema.get_field_index("near")).to_pylist(), dtype=np.int32)
+            near = whole.column(whole.schema.get_field_index("near")).flatten().to_numpy().reshape(len(ids), -1)
             out = _counted(ids, whole.column(whole.schema.get_field_index("w")).to_numpy(), _unit(whole, whole.schema.get_field_index("e")), near, whole.column(whole.schema.get_field_index("own")).to_numpy(), head["p"], head["q"], head["pair"], least)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "links", "root"])
 
