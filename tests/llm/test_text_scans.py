@@ -194,3 +194,27 @@ def test_planted_passages(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
     rows = substrings.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in rows} == set(range(1, 10)) and all(r["words"] >= 75 for r in rows)
+
+
+def test_hot_keys_are_salted_and_still_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(70)
+    docs = spark.createDataFrame([(k, " ".join(fresh(30) + (passage if k % 2 else fresh(70)) + fresh(30))) for k in range(60)], "doc_id long, text string")
+    plain = {tuple(r) for r in substrings.repeated_passages(docs).select("doc_id", "start", "end").collect()}
+    monkeypatch.setattr(substrings, "SCOUT", 1)
+    monkeypatch.setattr(substrings, "HOT_LEAST", 5)
+    monkeypatch.setattr(substrings, "SALTS", 4)
+    rows = substrings.repeated_passages(docs)
+    assert {tuple(r) for r in rows.select("doc_id", "start", "end").collect()} == plain
+    pairs = [(r["doc_id"], r["of_doc_id"]) for r in rows.collect()]
+    home = {k: k for k in range(60)}
+    for a, b in sorted(pairs):
+        home = {k: min(home[a], home[b]) if v in (home[a], home[b]) else v for k, v in home.items()}
+    assert {home[k] for k in range(1, 60, 2)} == {1}
+
+
+def test_repeated_words_give_few_windows(spark):
+    docs = spark.createDataFrame([(1, "na " * 5000), (2, "na " * 300), (3, "x y " * 400)], "doc_id long, text string")
+    assert substrings._windows(docs.select(docs.doc_id.alias("doc"), "text"), 46).count() <= 20
+    assert {(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated_passages(docs).collect()} <= {(2, 1)}
