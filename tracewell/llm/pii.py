@@ -216,7 +216,7 @@ def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarra
         text = text[:4000] if len(text) > 4000 else text
         for kind, a, b in base_spans(text) or [("email", 0, 0)]:
             value = text[a:b] if b else f"user{rng.randrange(99)}@mail{rng.randrange(9)}.example.org"
-            for k in {kind, rng.choice(BASE)}:
+            for k in dict.fromkeys((kind, rng.choice(BASE))):
                 new, said = _disguised(rng, k, value if k == kind else f"u{rng.randrange(99)}@h{rng.randrange(9)}.net" if k == "email" else "+1 (555) 555-0100")
                 lead = rng.choice(cue[new])
                 place = text[:a] + lead
