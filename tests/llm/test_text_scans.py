@@ -218,3 +218,14 @@ def test_repeated_words_give_few_windows(spark):
     docs = spark.createDataFrame([(1, "na " * 5000), (2, "na " * 300), (3, "x y " * 400)], "doc_id long, text string")
     assert substrings._windows(docs.select(docs.doc_id.alias("doc"), "text"), 46).count() <= 20
     assert {(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated_passages(docs).collect()} <= {(2, 1)}
+
+
+def test_passages_around_a_common_line_meet(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    line = fresh(42)
+    around = [(fresh(9), fresh(9)) for _ in range(12)]
+    texts = [fresh(40) + (around[k // 2 % 12][0] + line + around[k // 2 % 12][1] if k % 2 else line) + fresh(40) for k in range(48)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    rows = substrings.repeated_passages(docs).collect()
+    assert {(k, k - 24) for k in range(25, 48, 2)} <= {(r["doc_id"], r["of_doc_id"]) for r in rows if r["words"] >= 60}
