@@ -229,3 +229,26 @@ def test_passages_around_a_common_line_meet(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
     rows = substrings.repeated_passages(docs).collect()
     assert {(k, k - 24) for k in range(25, 48, 2)} <= {(r["doc_id"], r["of_doc_id"]) for r in rows if r["words"] >= 60}
+
+
+def test_second_place_of_a_refrain_is_tied(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for k in range(0, 20, 2):
+        refrain, verse, other = fresh(40), fresh(15), fresh(200)
+        texts[k], texts[k + 1] = refrain + other + refrain + verse, refrain + verse
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    rows = {(r["doc_id"], r["of_doc_id"]): r for r in substrings.repeated_passages(docs).collect()}
+    assert set(rows) == {(k + 1, k) for k in range(0, 20, 2)} and all(r["words"] == 55 for r in rows.values())
+
+
+def test_windows_at_every_place_but_those_of_one_period():
+    words = [f"u{k}".encode() for k in range(300)]
+    refrain = words[:40]
+    for text, more in ((refrain + words[40:140] + refrain + words[140:240], True), ([b"na"] * 500, False)):
+        h = substrings.shingles(text)
+        g = substrings.hashed(h, 0)
+        left, at, right = substrings.compact_windows(g, 46)
+        kept = at[~substrings._periodic(h, g, left, at, right, 46)].tolist()
+        assert (len(kept) == len(at) if more else kept == [0]), (kept, at)
