@@ -252,3 +252,17 @@ def test_windows_at_every_place_but_those_of_one_period():
         left, at, right = substrings.compact_windows(g, 46)
         kept = at[~substrings._periodic(h, g, left, at, right, 46)].tolist()
         assert (len(kept) == len(at) if more else kept == [0]), (kept, at)
+
+
+def test_sample_does_not_follow_the_order_of_rows(spark):
+    rows = [(k, f"source {k // 2000} row {k} " + "word " * (2000 if k % 9 == 0 else 5)) for k in range(4000)]
+    made = [spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows[::-1])]
+    first, second = (pii.sample_texts(d) for d in made)
+    assert first == second and len(first) == pii.SAMPLE_ROWS
+    assert 500 < sum(t.startswith("source 0") for t in first) < 900 and any(len(t) == pii.SAMPLE_CHARS for t in first)
+
+
+def test_too_small_a_sample_still_judges():
+    judge = pii.Judge(["just a text"])
+    text = 'please write mail: alice at mail7 dot example dot com today, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and'
+    assert {"email_obscured", "secret"} <= {k for k, *_ in judge.added(text, pii.base_spans(text), True)}
