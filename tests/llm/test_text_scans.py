@@ -266,3 +266,17 @@ def test_too_small_a_sample_still_judges():
     judge = pii.Judge(["just a text"])
     text = 'please write mail: alice at mail7 dot example dot com today, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and'
     assert {"email_obscured", "secret"} <= {k for k, *_ in judge.added(text, pii.base_spans(text), True)}
+
+
+def test_secrets_of_any_length():
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    late = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(80)) + "7Qx"
+    judge = pii.Judge(pii.built_in(7, 300))
+    for secret in (key[:201], key[:344], key, late):
+        text = f'here token = "{secret}" with'
+        assert ("secret", 14, 14 + len(secret)) in pii.candidates(text)
+    for secret in (key[:201], key[:344], key):
+        text = f'here token = "{secret}" with'
+        assert ("secret", 14, 14 + len(secret)) in judge.added(text, pii.base_spans(text), True)
+    assert not any(k == "secret" for k, *_ in pii.candidates("a-" * 200 + " 1"))
