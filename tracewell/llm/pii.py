@@ -306,7 +306,9 @@ def sample_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """At most SAMPLE_ROWS texts for the trees, by hash of id and text; of longer texts SAMPLE_CHARS from a place that the hash gives."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("length(t) > 0").withColumn("h", F.xxhash64("id", "t"))
     room = F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1
-    rows = rows.select("h", F.substring(F.col("t"), (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).orderBy("h", "t").limit(SAMPLE_ROWS).collect()
+    # Hashes first: each partition's first rows would otherwise all go to the driver with their texts.
+    last = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last)).select("h", F.substring(F.col("t"), (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).orderBy("h", "t").limit(SAMPLE_ROWS).collect()
     return sorted(r["t"] for r in rows)
 
 
