@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracewell.llm import simhash, vptree
 from tracewell.llm.components import components
@@ -105,3 +106,42 @@ def test_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r[0], r[1]) for r in simhash.near_duplicates(docs).collect() if r[0] not in (None, 11, 12)} == {(4, 4), (9, 4), (7, 4), (2, 2)}
     assert sorted((r[0] or -1) for r in simhash.one_of_each(docs).collect()) == [-1, 2, 4, 11]
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    rows = [(3, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "one two three four five six"), (7, "one two three four five six"), (9, "one two three four five six"), (None, "a b c d e f g h"), (4, None), (4, "of its own, this one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_suspect", F.lit(1)).withColumn("mark", F.lit("x"))
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in simhash.one_of_each(docs).collect()))
+    assert got == [(-1, rows[0][1]), (3, rows[0][1]), (4, ""), (4, rows[7][1]), (7, rows[2][1])]
+
+
+def planted(rng, count, size):
+    """Texts and copies of them in which runs of words were replaced, with the similarity of their five-word shingles."""
+    words, out = [f"w{k}" for k in range(20_000)], []
+    for _ in range(count):
+        base = rng.choice(words, size).tolist()
+        copy = base[:]
+        for _ in range(rng.integers(1, max(2, size // 40))):
+            copy[rng.integers(size)] = "edit%d" % rng.integers(10**6)
+        a, b = (set(zip(*(x[k:] for k in range(5)))) for x in (base, copy))
+        out.append((" ".join(base), " ".join(copy), len(a & b) / len(a | b)))
+    return out
+
+
+def test_recall_of_near_copies(spark):
+    rng = np.random.default_rng(12)
+    pairs = [p for size in (60, 150, 600) for p in planted(rng, 400, size)]
+    rows = [(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = lambda low, high: np.mean([got[2 * k + 1] == 2 * k for k, p in enumerate(pairs) if low <= p[2] < high])
+    assert found(0.85, 1.1) >= 0.97 and found(0.8, 1.1) >= 0.93, (found(0.8, 0.85), found(0.85, 1.1))
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(len(pairs)))
+    assert found(0.0, 0.7) == 0 or not any(p[2] < 0.7 for p in pairs)
+
+
+def test_placements_do_not_grow_with_the_table():
+    rng = np.random.default_rng(3)
+    for total, most in ((10**6, 4.1), (10**8, 4.1), (10**9, 4.4)):
+        tree = vptree.fit(rng.integers(0, 2**64, max(4096, vptree.PER_SHARD * total // 65_536), dtype=np.uint64), None, total, 65_536, vptree.Rule(3))
+        row, leaf = tree.place(rng.integers(0, 2**64, 5000, dtype=np.uint64), None)
+        assert len(row) <= most * 5000 and tree.leaves >= 4 * total // 65_536

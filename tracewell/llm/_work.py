@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,16 +122,29 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int = 12 << 20)
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def suspects(rows: DataFrame, id_col: str, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """``rows`` with ``_suspect``: whether the id may be among ``ids`` (one column), by a broadcast bitmap.
+#: Places of a bitmap of ids for each id, and its places at least and at most (128 MB).
+PLACES = 8
+LEAST_BITS, MOST_BITS = 16, 30
 
-    The bitmap has 2^``bits`` places for hashed ids, two megabytes at most, so wide rows that are
-    certainly not named need no shuffle; the suspects are then joined exactly. A null id is no suspect.
+
+def bitmap_bits(count: int) -> int:
+    """Bits of a place number: the bitmap grows with the ids up to MOST_BITS."""
+    return min(MOST_BITS, max(LEAST_BITS, (PLACES * count - 1).bit_length()))
+
+
+def suspects(rows: DataFrame, id_cols: list[str], ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_suspect``: whether the values of ``id_cols`` may be among ``ids`` (as many columns), by a broadcast bitmap.
+
+    The bitmap has PLACES places or more for each id, so that about one row of nine is suspected in
+    vain; wide rows that are certainly not named need no shuffle, the suspects are then joined exactly.
+    Beyond 134 million ids the bitmap stays at 128 MB and suspects more rows; the result is the same.
+    A row with a null among its values is no suspect.
     """
-    name = ids.columns[0]
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits)) + 1
-    maps = ids.select(place(name).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place(id_col))).withColumn("_bit", F.bitmap_bit_position(place(id_col)))
+    bits = bitmap_bits(ids.count())
+    place = lambda names: F.pmod(F.xxhash64(*(F.col(c).cast("long") for c in names)), F.lit(1 << bits)) + 1
+    maps = ids.select(place(ids.columns).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(place(id_cols))).withColumn("_bit", F.bitmap_bit_position(place(id_cols)))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit: Column = F.floor(byte / F.pow(F.lit(2.0), F.col("_bit") % 8)) % 2 == 1
-    return placed.join(F.broadcast(maps), "_bucket", "left").select(*(F.col(f"`{c}`") for c in rows.columns), (F.coalesce(hit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).alias("_suspect"))
+    known = [F.col(f"`{c}`").isNotNull() for c in id_cols]
+    return placed.join(F.broadcast(maps), "_bucket", "left").select(*(F.col(f"`{c}`") for c in rows.columns), (F.coalesce(hit, F.lit(False)) & reduce(Column.__and__, known)).alias("_suspect"))

@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from ._work import ship, slices, stash, suspects, text_views
+from ._work import gathered, ship, slices, stash, suspects, text_views
 from .components import components
 
-#: Fingerprints that the top tree is fitted on, at most.
+#: Fingerprints that the top trees are fitted on, at least.
 SAMPLE = 4096
 #: Fingerprints that a shard aims at, and of a block where no split helps.
 SHARD = 65_536
 #: Bins of the one-permutation sketch that estimates shingle similarity.
 BINS = 256
+#: Fingerprints of shingle samples by which near copies meet, and shingles of a sample.
+SAMPLES = 10
+DRAWN = 4
+_DRAWN_BINS = np.arange(SAMPLES * DRAWN) * (BINS // (SAMPLES * DRAWN))
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.uint16) * 256
@@ -52,81 +56,119 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes)).tobytes(), "big")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Least hash in each of BINS bins, 16 bits of it; 0 marks an empty bin."""
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """A one-permutation sketch: 16 bits of the least hash in each of BINS bins (0 marks an empty bin), and SAMPLES fingerprints.
+
+    Fingerprint ``i`` is the SimHash of the hashes in DRAWN bins of its own; an empty bin takes the next
+    one's. Two texts have the same hash in a bin at the rate of their shingle similarity ``s``, so a
+    fingerprint is the same at a rate of s^DRAWN or more, and one of them at 1 - (1 - s^DRAWN)^SAMPLES:
+    0.995 for 0.8.
+    """
     out = np.zeros(BINS, dtype=np.uint16)
-    if len(hashes):
-        h = np.unique(hashes.view(">u8").ravel().astype(np.uint64))
-        bins = (h >> np.uint64(56)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bins, prepend=-1))
-        out[bins[first]] = 1 + ((h[first] >> np.uint64(20)) % np.uint64(65_535)).astype(np.uint16)
-    return out.tobytes()
+    if not len(hashes):
+        return out.tobytes(), bytes(8 * SAMPLES)
+    h = np.unique(hashes.view(">u8").ravel().astype(np.uint64))
+    bins = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = 1 + ((h[first] >> np.uint64(20)) % np.uint64(65_535)).astype(np.uint16)
+    drawn = h[first[np.searchsorted(bins[first], _DRAWN_BINS) % len(first)]] * np.uint64(0xFF51AFD7ED558CCD)
+    drawn ^= drawn >> np.uint64(32)  # least hashes of a bin begin alike
+    drawn *= np.uint64(0x9E3779B97F4A7C15)
+    ones = np.unpackbits(drawn.astype(">u8").view(np.uint8)).reshape(SAMPLES, DRAWN, 64).sum(1)
+    return out.tobytes(), np.packbits(ones * 2 > DRAWN).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, sketched: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), with ``size`` (shingles) and ``sketch`` if asked for."""
+    """doc_id and fp (the fingerprint as a signed long); if asked for, also ``mark`` (a hash of the text), ``size`` (shingles), ``sketch`` and ``samples``.
+
+    One row per row: a null text counts as an empty one, whose fingerprint is zero; ids may be null or
+    repeat; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            fps, sizes, sketches = [], [], []
+            fps, sizes, sketches, samples = [], [], [], []
             for text in text_views(batch, "text"):
                 h = shingle_hashes(text, words)
                 fps.append(fingerprint(h))
                 if sketched:
                     sizes.append(len(h))
-                    sketches.append(sketch(h))
+                    marks, drawn = sketch(h)
+                    sketches.append(marks)
+                    samples.append(drawn)
             columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())] if sketched else []), names=names)
+            yield pa.RecordBatch.from_arrays(columns + ([batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(samples, pa.binary())] if sketched else []), names=names)
 
-    names = ["doc_id", "fp"] + (["size", "sketch"] if sketched else [])
+    names = ["doc_id", "fp"] + (["mark", "size", "sketch", "samples"] if sketched else [])
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + (", size long, sketch binary" if sketched else ""))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.xxhash64(text).alias("mark")] if sketched else []), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", mark long, size long, sketch binary, samples binary" if sketched else ""))
+
+
+def _trees(items: DataFrame, total: int, shard: int, rule: vptree.Rule, sized: bool) -> vptree.Tree:
+    """Top trees from a sample by hash of PER_SHARD fingerprints for each shard, SAMPLE at least: 8 bytes each, 40 MB for 10^10 items."""
+    share = min(1.0, max(SAMPLE, vptree.PER_SHARD * total / shard) / max(1, total))
+    picked = items.select("fp", *(["size"] if sized else [])).where(F.pmod(F.xxhash64("fp", F.lit(71)), F.lit(1 << 40)) < int(share * (1 << 40))).toPandas()
+    picked = picked.sort_values(list(picked.columns))
+    return vptree.fit(picked["fp"].to_numpy(np.int64).view(np.uint64), picked["size"].to_numpy(np.int64) if sized else None, total, shard, rule)
 
 
 def fingerprint_links(items: DataFrame, rule: vptree.Rule, shard: int = SHARD) -> DataFrame:
     """(u, v) links that connect just the ``key``s whose fingerprints the rule connects.
 
-    ``items``: key long (distinct), fp long, and size long and sketch binary where the rule needs
-    them. The top tree is fitted on SAMPLE items chosen by hash; every item is indexed. A shard
-    that no split could make small is compared in pairs of blocks, so no task holds more than
-    two blocks.
+    ``items``: key long (distinct), fp long, size long and sketch binary where the rule needs them,
+    and optionally ``part`` int: only items of one part are compared. The sample of the top
+    trees grows with the number of shards; every item is indexed. A shard that no split could make
+    small is compared in pairs of blocks of ``shard`` items, so no task holds more than two blocks.
+    Cases: no items give no links; equal fingerprints under different keys are linked.
     """
     extra = rule.ratio is not None or rule.similar is not None
     columns = ["key", "fp"] + (["size", "sketch"] if extra else [])
-    items = items.select(*columns)
-    total = items.count()
-    picked = items.drop("sketch").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()
-    tree = vptree.fit(picked["fp"].to_numpy(np.int64).view(np.uint64), picked["size"].to_numpy(np.int64) if extra else None, total, shard, rule)
+    parted = "part" in items.columns
+    items = items.select(*columns, F.col("part").cast("long") if parted else F.lit(0).cast("long").alias("part"))
+    sizes = items.groupBy("part").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    spark, total = items.sparkSession, sizes["most"] or 0
+    sample = items.where(F.col("part") == items.select(F.min("part")).first()[0]) if parted and total else items
+    shared = spark.sparkContext.broadcast(_trees(sample, total, shard, rule, extra))
+    tall = 1 << 18  # blocks of a shard, at most
 
     def dealt(blocks: dict[int, int]):
+        cut_leaves = np.array(sorted(blocks), dtype=np.int64)
+        cuts = np.array([blocks[k] for k in sorted(blocks)], dtype=np.int64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fp = batch.column(1).to_numpy().view(np.uint64)
+            tree = shared.value
+            for batch in gathered(batches, 20_000):
+                fp, part = batch.column(1).to_numpy().view(np.uint64), batch.column(len(columns)).to_numpy()
                 row, leaf = tree.place(fp, batch.column(2).to_numpy() if extra else None)
-                cut = np.array([blocks.get(i, 1) for i in range(tree.leaves)])[leaf]
+                shard_no = part[row] * tree.leaves + leaf
+                cut = np.ones(len(row), dtype=np.int64)
+                if len(cut_leaves):
+                    slot = np.minimum(np.searchsorted(cut_leaves, shard_no), len(cut_leaves) - 1)
+                    cut = np.where(cut_leaves[slot] == shard_no, cuts[slot], 1)
                 own = (fp[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % cut
                 # Block pairs: each item goes to the pair of its block with every other.
                 other = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
-                row, leaf, own = (np.repeat(x, cut) for x in (row, leaf, own))
-                pair = np.minimum(own, other) * 100_000 + np.maximum(own, other)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64) * 10_000_000_000 + pair), *taken.columns], names=["shard", *columns])
+                row, shard_no, own = (np.repeat(x, cut) for x in (row, shard_no, own))
+                pair = np.minimum(own, other) * tall + np.maximum(own, other)
+                taken = batch.select(list(range(len(columns)))).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_no), pa.array(pair), *taken.columns], names=["shard", "pair", *columns])
 
         return run
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
+        tree = shared.value
         key, fp = part["key"].to_numpy(np.int64), part["fp"].to_numpy(np.int64).view(np.uint64)
         size = part["size"].to_numpy(np.int64) if extra else None
         marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint16).reshape(len(part), -1) if extra else None
-        pairs = vptree.links(fp, size, marks, rule)
+        pairs = vptree.links(fp, size, marks, rule, mask=tree.leaf_mask[int(part["shard"].iat[0]) % tree.leaves])
         return pd.DataFrame({"u": key[pairs[:, 0]], "v": key[pairs[:, 1]]})
 
-    kinds = "shard long, key long, fp long" + (", size long, sketch binary" if extra else "")
-    lean = items.select("key", "fp", *(["size", "sketch"] if extra else []))
-    counts = lean.mapInArrow(dealt({}), kinds).groupBy("shard").count().collect()  # a row per leaf of the top tree
-    blocks = {r["shard"] // 10_000_000_000: -(-r["count"] // (3 * shard)) for r in counts if r["count"] > 3 * shard}
-    return lean.mapInArrow(dealt(blocks), kinds).groupBy("shard").applyInPandas(joined, "u long, v long").distinct()
+    kinds = "shard long, pair long, key long, fp long" + (", size long, sketch binary" if extra else "")
+    counts = items.mapInArrow(dealt({}), kinds).groupBy("shard").count().where(f"count > {2 * shard}").collect()  # shards that no split makes small
+    blocks = {r["shard"]: -(-r["count"] // shard) for r in counts}
+    return items.mapInArrow(dealt(blocks), kinds).groupBy("shard", "pair").applyInPandas(joined, "u long, v long").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
@@ -151,37 +193,72 @@ def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataF
     return result
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 18, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of near copies: five-word shingles, similarity at least ``similar``.
+def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 20, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, mark, first) of near copies: five-word shingles, similarity at least ``similar``.
 
-    Two documents link where their fingerprints differ in ``reach`` bits at most, their lengths
-    allow that similarity and their shingle sketches show it. Equal texts are joined by checksum
-    first. Cases as for ``simhash_components``; texts without words are one group.
+    Texts of similarity 0.8 differ in some ten bits of their SimHash, which no tree can prune. So each
+    text has SAMPLES more fingerprints, SimHashes of small min-wise samples of its shingles, of which
+    near copies share some to 3 bits at most; the trees join these. Texts that meet
+    link where their whole fingerprints differ in ``reach`` bits at most, their lengths allow the
+    similarity and their sketches show it (standard error 0.025). ``mark`` is a hash of the text,
+    ``component_id`` the smallest doc_id of the group (null if none has one), ``first`` whether the row
+    has that id and, of different texts under it, the one with the least mark. Cases: texts that are
+    equal or have the same shingles are joined once, texts without words are one group; an
+    empty table gives no rows; other columns are ignored; null and repeated ids as they come.
     """
-    marked, _ = stash(fingerprints(docs, words, True, id_col, text_col), "nearcopies")
-    marked = marked.withColumn("key", F.xxhash64("fp", "size", "sketch"))
-    groups = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
-    edges = fingerprint_links(groups, vptree.Rule(reach, ratio=similar, similar=similar))
+    spark = docs.sparkSession
+    marked, _ = stash(fingerprints(docs, words, True, id_col, text_col).withColumn("key", F.xxhash64("fp", "size", "sketch")), "nearcopies")
+    groups, _ = stash(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("samples").alias("samples")), "nearcopy-groups")
+    sample = F.conv(F.hex(F.expr("substring(samples, part * 8 + 1, 8)")), 16, -10).cast("long")
+    prints = groups.select("key", "samples", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("part")).select("key", "part", sample.alias("fp"))
+    prints = prints.withColumn("node", F.xxhash64("part", "fp"))
+    nodes, _ = stash(prints.groupBy("node").agg(F.first("part").alias("part"), F.first("fp").alias("fp"), F.count("*").alias("n")), "nearcopy-prints")
+    links, _ = stash(fingerprint_links(nodes.select(F.col("node").alias("key"), "part", "fp"), vptree.Rule(3)), "nearcopy-links")
+    balls, _ = components(links)
+    # Only fingerprints that several texts have, or that lie near another, make texts meet.
+    shared = nodes.where("n > 1").select(F.col("node").alias("vertex"), F.col("node").alias("root")).join(balls.select("vertex"), "vertex", "left_anti").unionByName(balls).unionByName(balls.select(F.col("root").alias("vertex"), "root").distinct()).distinct()
+    met, _ = stash(prints.join(shared, F.col("node") == F.col("vertex")).select("key", F.col("root").alias("ball")).distinct(), "nearcopy-met")
+    edges = _verified(groups.drop("samples"), met, vptree.Rule(reach, ratio=similar, similar=similar))
     roots, _ = components(edges)
-    class_of = groups.select("key", "least").join(roots, F.col("key") == F.col("vertex"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(class_of.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    class_of = groups.select("key").join(roots, F.col("key") == F.col("vertex"), "left").select("key", F.coalesce("root", "key").alias("root"))
+    named = marked.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least")).join(class_of, "key")
+    named = named.select("key", "root", "least").join(named.groupBy("root").agg(F.min("least").alias("winner")), "root").select("key", "winner")
+    first = F.struct("doc_id", "mark").eqNullSafe(F.col("winner"))
+    return marked.select("key", "doc_id", "mark").join(named, "key").select("doc_id", F.col("winner.doc_id").alias("component_id"), "mark", first.alias("first"))
+
+
+def _verified(groups: DataFrame, met: DataFrame, rule: vptree.Rule, block: int = 16_384) -> DataFrame:
+    """(u, v) that connect the keys of a ball that the rule links; a ball of more than two blocks is compared in pairs of blocks."""
+    large = met.groupBy("ball").count().where(f"count > {2 * block}").select("ball", F.ceil(F.col("count") / block).cast("int").alias("cut"))
+    cut = F.coalesce("cut", F.lit(1))
+    dealt = met.join(F.broadcast(large), "ball", "left").withColumn("own", F.pmod(F.xxhash64("key", F.lit(5)), cut).cast("int"))  # a ball in that table has tens of thousands of rows
+    dealt = dealt.select("key", "ball", "own", F.explode(F.sequence(F.lit(0), cut - 1)).alias("other")).select("key", "ball", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        key, out = part["key"].to_numpy(np.int64), []
+        if len(key) > 1:
+            marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint16).reshape(len(part), -1)
+            vptree._leaf(np.arange(len(key)), part["fp"].to_numpy(np.int64).view(np.uint64), part["size"].to_numpy(np.int64), marks, rule, out)
+        pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+        pairs = vptree._forest(pairs[:, 0], pairs[:, 1])
+        return pd.DataFrame({"u": key[pairs[:, 0]], "v": key[pairs[:, 1]]})
+
+    return dealt.join(groups, "key").groupBy("ball", "a", "b").applyInPandas(joined, "u long, v long").distinct()
 
 
-def one_of_each(docs: DataFrame, words: int = 5, reach: int = 18, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, reach: int = 20, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of ``near_duplicates`` the smallest doc_id stays.
 
-    Cases: of rows that repeat an id one stays; rows without an id cannot be named and stay.
+    Rows are judged by id and text: where an id repeats with another text, that text is judged for
+    itself. Cases: of rows that repeat an id and its text one stays; rows without an id cannot be
+    named and stay; an empty table gives no rows; all columns stay as they were.
     """
     classes, _ = stash(near_duplicates(docs, words, reach, similar, id_col, text_col), "classes")
-    named = classes.where("doc_id is not null")
-    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
-    losers, _ = stash(gone.where("first <> doc_id").select(F.col("doc_id").alias(id_col)), "losers")
-    marked = suspects(docs, id_col, losers)
-    whole = [F.col(f"`{c}`") for c in docs.columns]
-    left = marked.where("not _suspect").select(*whole).unionByName(marked.where("_suspect").join(losers, id_col, "left_anti").select(*whole))
-    again = gone.where("first = doc_id and n > 1").select(F.col("doc_id").alias(id_col))
-    if not again.limit(1).count():
-        return left
-    once = left.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
+    named = classes.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    # Rows to move: those that go, and those that repeat. A bitmap keeps most others where they are.
+    touched, _ = stash(named.where("not first or n > 1").select("doc_id", "mark", "first"), "losers")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marked = suspects(rows, ["doc_id", "mark"], touched.select("doc_id", "mark"))
+    some = marked.where("_suspect").join(touched, ["doc_id", "mark"], "left")
+    once = some.where("first").dropDuplicates(["doc_id", "mark"])
+    return marked.where("not _suspect").select("row.*").unionByName(some.where("first is null").select("row.*")).unionByName(once.select("row.*"))
