@@ -22,7 +22,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return simhash.one_of_each(docs, words=5, reach=18, similar=0.8)
+    return simhash.one_of_each(docs, words=5, similar=0.8)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
