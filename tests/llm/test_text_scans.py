@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -204,7 +205,7 @@ def test_hot_keys_are_salted_and_still_meet(spark, monkeypatch):
     plain = {tuple(r) for r in substrings.repeated_passages(docs).select("doc_id", "start", "end").collect()}
     monkeypatch.setattr(substrings, "SCOUT", 1)
     monkeypatch.setattr(substrings, "HOT_LEAST", 5)
-    monkeypatch.setattr(substrings, "SALTS", 4)
+    monkeypatch.setattr(substrings, "HOT_ROWS", 8)
     rows = substrings.repeated_passages(docs)
     assert {tuple(r) for r in rows.select("doc_id", "start", "end").collect()} == plain
     pairs = [(r["doc_id"], r["of_doc_id"]) for r in rows.collect()]
@@ -280,3 +281,49 @@ def test_secrets_of_any_length():
         text = f'here token = "{secret}" with'
         assert ("secret", 14, 14 + len(secret)) in judge.added(text, pii.base_spans(text), True)
     assert not any(k == "secret" for k, *_ in pii.candidates("a-" * 200 + " 1"))
+
+
+def family(rng, fresh, size, words):
+    """A passage and copies of it with one edited word each."""
+    passage, out = fresh(words), []
+    for k in range(size):
+        copy = passage[:]
+        if k != size // 2:
+            copy[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(copy)
+    return out
+
+
+def similar_pairs(passages, least=0.8):
+    sets = [set(zip(*(p[k:] for k in range(5)))) for p in passages]
+    return {(j, i) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("size, words, want", [(2, 60, 0.93), (10, 60, 0.9), (10, 120, 0.97), (30, 60, 0.8)])
+def test_families_of_edited_passages(spark, size, words, want):
+    rng = random.Random(size + words)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    families = [family(rng, fresh, size, words) for _ in range(240 // size)]
+    rows, repeats = [], set()
+    for f, members in enumerate(families):
+        repeats |= {(f * size + j, f * size + i) for j, i in similar_pairs(members)}
+        rows += [(f * size + k, " ".join(fresh(rng.randrange(20, 200)) + m + fresh(rng.randrange(20, 200)))) for k, m in enumerate(members)]
+    rng.shuffle(rows)
+    found = {(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = {d for d, _ in repeats}
+    assert all(a // size == b // size for a, b in found)
+    assert len(docs & {d for d, _ in found}) >= want * len(docs), (len(docs & {d for d, _ in found}) / len(docs), len(found & repeats) / len(repeats))
+    print("documents", len(docs & {d for d, _ in found}) / len(docs), "pairs", len(found & repeats) / len(repeats))
+
+
+def test_ties_do_not_depend_on_batches():
+    rng = np.random.default_rng(5)
+    n = 4000
+    key = np.sort(rng.integers(0, 60, n))
+    near, sig = rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 4, n)
+    doc = rng.integers(0, 500, n)
+    order = np.lexsort((doc, sig, near, key))
+    cols = [key, np.zeros(n, dtype=np.int64), near[order], sig[order], doc[order], np.zeros(n, dtype=np.int8), *(np.full(n, x, dtype=np.int32) for x in (0, 50, 99))]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in substrings._WINDOW.split(", ")])
+    run_ = lambda size: sorted({tuple(-1 if v is None else v for v in r.values()) for b in substrings._meet((whole.slice(k, size) for k in range(0, n, size)), np.array([7, 9]), 46) for r in b.to_pylist()})
+    assert run_(n) == run_(97) == run_(11)
