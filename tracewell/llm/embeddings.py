@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship, slices, stash, suspects, wide
+from ._work import gathered, ship, slices, stash, suspects, wide
 from .components import components
 from .vptree import _forest
 
@@ -313,7 +313,7 @@ def _met(groups: DataFrame, payload: list[str], prepare: Callable, bytes_a_part:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in gathered(batches, 20_000):
             if not batch.num_rows:
                 continue
             codes = [np.asarray(batch.column(batch.schema.get_field_index(c)).dictionary_encode().indices) for c in order]
