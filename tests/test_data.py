@@ -179,3 +179,109 @@ def test_indexed_columns_have_bloom_filters(spark, tmp_path):
         assert chunks["timestamp"].getCodec().toString() == "ZSTD" and "DELTA_BINARY_PACKED" in chunks["timestamp"].getEncodings().toString()
     finally:
         reader.close()
+
+
+def test_malformed_lines_are_skipped(spark):
+    good = '{"ts":5,"asn":1}'
+    bad = [good + " x", good + good, good + "]", "[" + good, good + "}", '{"ts":5,"bytes":NaN}', '{"ts":5,"bytes":Infinity}', '{"ts":5,"bytes":1e999}', '{"ts":5,"a":' + "[" * 100_000, '{"ts":"5\\n"}', '{"ts":"2024-06-01T00:00:00Z\\n"}', good + ',0],{"a":1}', '{"ts":5,"asn":01}', '{"ts":5,"a":"\t"}', "{'ts':5}", '{"ts":5,}']
+    assert decoded(spark, "generic-flow", *bad) == [None] * len(bad)
+    rows = decoded(spark, "generic-flow", " " + good + " ", '{"ts":5,"ts":6}', '{"ts":5,"dport":"22\\n","event":"a\\n"}', '{"ts":5,"event":"\\ud800x"}', '{"ts":5,"protocol":1e21,"event":1.50,"country":-0.000001}')
+    assert rows[0]["asn"] == 1 and rows[1]["timestamp"] == 6 * 10**9
+    assert rows[2]["dstport"] is None and rows[2]["eventtype"] == "a\n" and rows[3]["eventtype"].endswith("x")
+    assert (rows[4]["protocol"], rows[4]["eventtype"], rows[4]["country"]) == ("1000000000000000000000", "1.5", "-0.000001")
+
+
+def test_unsigned_numbers(spark):
+    line = '{"ts":5,"bytes":18446744073709551615,"packets":"9223372036854775808","asn":18446744073709551616,"dstport":7}'
+    lines = spark.createDataFrame([(line,)], "value string")
+    wide, plain = adapters.records(lines, "generic-flow", wide=True).first(), adapters.records(lines, "generic-flow").first()
+    assert (int(wide["bytes"]), int(wide["packets"]), wide["asn"], wide["dstport"]) == (2**64 - 1, 2**63, None, 7)
+    assert (plain["bytes"], plain["packets"], plain["dstport"]) == (None, None, 7)
+
+
+def test_lines_that_are_no_text(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b'{"ts":5,"event":"\xff\xfe"}\n{"ts":6}\n')
+    rows = adapters.records(read_lines(spark, str(tmp_path / "x")), "generic-flow").collect()
+    assert sorted(r["timestamp"] for r in rows) == [5 * 10**9, 6 * 10**9]
+
+
+def test_every_line_is_counted(spark, tmp_path):
+    (tmp_path / "x").write_text('{"ts":1}\n' + "b" * (4 << 20) + 'c\n{"ts":2}\n\n')
+    assert pack(spark, "generic-flow", [str(tmp_path / "x")], str(tmp_path / "t")) == Stats(4, 2, 2)
+    assert [r["seq"] for r in spark.read.parquet(str(tmp_path / "t")).orderBy("timestamp").collect()] == [0, 2]
+
+
+def test_follower_passes_over_a_long_line(tmp_path, monkeypatch):
+    from tracewell.sources import follow as module
+
+    monkeypatch.setattr(module, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(module, "MAX_LINE", 300)
+    log = tmp_path / "l"
+    log.write_bytes(b"one\n" + b"x" * 5000 + b"\ntwo\n" + b"y" * 400 + b"\nthree\nhalf")
+    at, got, steps = 0, [], []
+    for _ in range(30):
+        lines, end = module._added(str(log), at, None)
+        assert module._added(str(log), at, end) == (lines, end)  # a replay gives the same
+        got += [x for (x,) in lines]
+        steps.append((at, end))
+        at = end
+    assert got == ["one", None, "two", None, "three"] and at == log.stat().st_size - 4
+    with log.open("ab") as f:
+        f.write(b"z" * 2000)
+    lines, at = module._added(str(log), at, None)
+    assert lines == [(None,)] and at < 0
+    log.write_bytes(b"new\n")
+    assert module._added(str(log), at, None) == ([("new",)], 4)
+
+
+def test_segments_of_packed_tables(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tracewell.operators import catalog
+
+    text, out = str(tmp_path / "in"), str(tmp_path / "out")
+    datagen.generate(spark, "generic-flow", 5000).repartition(3).write.text(text)
+    pack(spark, "generic-flow", [text], out, store.WriteOptions(segment_rows=1000, index=True))
+    df, schema = store.read_table(spark, out)
+    assert sorted(r[0] for r in df.select("seq").collect()) == list(range(5000))
+    assert catalog.info(df, schema, 1000)["segments"] == 5 == catalog.zone_map(df, schema, 1000, ["asn"]).count()
+    groups = [pq.ParquetFile(p).metadata.row_group(g).num_rows for p in (tmp_path / "out").glob("part-*") for g in range(pq.ParquetFile(p).num_row_groups)]
+    assert max(groups) <= 1000 and sum(groups) == 5000
+    plan = store.query_table(spark, out, "SELECT count(*) FROM t")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan
+    top = store.query_table(spark, out, "SELECT top(country) FROM t")
+    assert "_index/histogram/country" in top._jdf.queryExecution().executedPlan().toString() or "country" in top.columns
+    assert [tuple(r) for r in top.collect()] == [tuple(r) for r in query(df, schema, "SELECT top(country) FROM t").collect()]
+    assert store.query_table(spark, out, "SELECT count(*) FROM t WHERE country = 'CN'").first()[0] == df.where("country = 'CN'").count()
+    assert store.read_index(spark, out, "postings", "bytes") is None
+    with pytest.raises(TracewellError):
+        store.read_table(spark, str(tmp_path / "nothing"))
+
+
+def test_absent_keys_read_no_row_group(spark, tmp_path):
+    rows = spark.range(200_000).select((F.col("id") * 10**6).alias("timestamp"), F.lit(bytearray(16)).alias("srcip"), F.lit("GET").alias("method"), F.md5(F.col("id").cast("string")).alias("path"), F.lit(200).cast("bigint").alias("status"), F.lit(1).cast("bigint").alias("bytes"), F.lit("-").alias("referer"), F.lit("u").alias("useragent"))
+    store.write_table(rows.coalesce(1), str(tmp_path / "t"), SCHEMAS["web-access"], store.WriteOptions(distinct={"path": 200_000}))
+    df, schema = store.read_table(spark, str(tmp_path / "t"))
+    found = query(df, schema, "SELECT path FROM t WHERE path = '0123456789abcdef0123456789abcdef'")
+    assert found.collect() == []
+    metrics = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(path" in metrics
+
+
+def test_stream_numbers_and_totals(spark, tmp_path):
+    source, out, at = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    source.mkdir()
+    for k in range(105):
+        (source / f"{k:03d}.txt").write_text(f'{{"ts":{k + 1}}}\nbad\n')
+    q = ingest(spark.readStream.option("maxFilesPerTrigger", 1).text(str(source)), "generic-flow", out, at, every=None)
+    q.awaitTermination()
+    assert len(q.recentProgress) <= 101 and stats(q) == Stats(210, 105, 105)
+    rows = spark.read.parquet(out).orderBy("seq").collect()
+    assert len({r["seq"] for r in rows}) == 105 and len({r["seq"] >> 37 for r in rows}) == 105
+
+
+def test_numbers_in_statements():
+    from tracewell.plans.binder import bind
+
+    assert [bind("double", x) for x in ("1.5", "-2e3", "nan", "inf", "1_0", "", ".")] == [1.5, -2000.0, None, None, None, None, None]
+    assert bind("timestamp", "2024-06-01\n") is None and bind("uint", "5\n") is None

@@ -59,3 +59,9 @@ def test_small_ones(spark):
     assert column(spark, values, lambda c: unzigzag(zigzag(c)), "bigint") == values
     assert column(spark, [0, 127, 128, 16383, 16384, 2**56 - 1, 2**56, 2**63 - 1, -1], uvarint_len, "bigint") == [1, 1, 2, 2, 3, 8, 9, 9, 10]
     assert [human_bytes(n) for n in (0, 1023, 1024, 1536, 1 << 20)] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "1.0 MiB"]
+
+
+def test_a_newline_is_part_of_the_text(spark):
+    assert column(spark, ["2024-06-01T00:00:00Z\n", "1717200000\n", "1.5\n"], parse_time_ns) == [None] * 3
+    assert column(spark, ["01/Jun/2024:02:00:00 +0200\n"], clf_time_ns) == [None]
+    assert column(spark, ["1.2.3.4\n", "::1\n", "::1.2.3.4\n", "1.2.3.4\r"], normalize_ip) == [None] * 4

@@ -6,6 +6,7 @@ pack, info, search, query, ingest, gen, bench and version.
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
 import time
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.text import human_bytes
 from .functions.timeparse import format_ns
 from .operators import catalog, store
-from .plans.compiler import format_result, query, search
+from .plans.compiler import format_result, search
 from .sources import adapters, datagen
 from .sources.follow import follow
 from .sources.lines import stream_lines
@@ -26,7 +27,7 @@ TABLE_FORMAT = "parquet-v2"
 
 
 def _session() -> SparkSession:
-    spark = SparkSession.builder.appName("tracewell").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.parquet.aggregatePushdown", "true").getOrCreate()
+    spark = SparkSession.builder.appName("tracewell").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -53,6 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-o", "--out", required=True)
     p.add_argument("--compression", default="zstd", choices=("zstd", "lz4", "uncompressed"))
     p.add_argument("--level", type=int, default=3)
+    p.add_argument("--segment-rows", type=int, default=None, help="rows of a row group, at most")
+    p.add_argument("--index", action="store_true", help="build histograms and postings of indexed columns")
+    p.add_argument("--wide", action="store_true", help="keep unsigned numbers from 2^63 on")
     p = sub.add_parser("info", help="what a table holds")
     p.add_argument("table")
     p = sub.add_parser("search", help="rows whose field has a value; ip and port stand for all such columns")
@@ -71,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--interval", type=float, default=5.0)
     p.add_argument("--follow", action="store_true", help="the input is a file that grows")
     p.add_argument("--once", action="store_true", help="take what is there and end")
+    p.add_argument("--wide", action="store_true", help="keep unsigned numbers from 2^63 on")
     p = sub.add_parser("gen", help="write synthetic lines")
     p.add_argument("source", choices=datagen.SOURCES)
     p.add_argument("-n", "--rows", type=int, default=100_000)
@@ -94,19 +99,23 @@ def _run(a: argparse.Namespace) -> int:
         return 0
     spark = _session()
     if a.command == "pack":
-        done = pack(spark, a.source, a.inputs, a.out, store.WriteOptions(a.compression, a.level))
+        done = pack(spark, a.source, a.inputs, a.out, store.WriteOptions(a.compression, a.level, a.segment_rows, index=a.index), a.wide)
         size, written = sum(_bytes(spark, i) for i in a.inputs), _bytes(spark, a.out)
         print(f"{done.records} records, {done.skipped} skipped, {human_bytes(size)} -> {human_bytes(written)} ({size / max(written, 1):.1f}x)")
     elif a.command == "gen":
         datagen.generate(spark, a.source, a.rows, a.seed).write.text(a.out)
     elif a.command == "ingest":
         lines = follow(spark, a.input) if a.follow else stream_lines(spark, a.input)
-        running = ingest(lines, a.source, a.out, a.checkpoint, None if a.once else f"{a.interval} seconds")
+        running = ingest(lines, a.source, a.out, a.checkpoint, None if a.once else f"{a.interval} seconds", wide=a.wide)
+        # SIGTERM ends it like Ctrl-C: what has come in is committed first.
+        before = signal.signal(signal.SIGTERM, signal.default_int_handler)
         try:
             running.awaitTermination()
         except KeyboardInterrupt:
             running.processAllAvailable()
             running.stop()
+        finally:
+            signal.signal(signal.SIGTERM, before)
         done = stats(running)
         print(f"{done.lines} lines, {done.records} records, {done.skipped} skipped")
     elif a.command == "bench":
@@ -130,7 +139,7 @@ def _run(a: argparse.Namespace) -> int:
         elif a.command == "search":
             show(search(df, schema, a.field, a.value, a.limit), schema)
         else:
-            show(query(df, schema, a.sql), schema)
+            show(store.query_table(spark, a.table, a.sql), schema)
     return 0
 
 

@@ -35,14 +35,14 @@ def normalize_ip(text: Column) -> Column:
     expression names its argument several times.
     """
     v4 = F.concat(F.lit(_MAPPED), _v4_hex(text))
-    return F.unhex(F.when(text.rlike(f"^{_V4}$"), v4).when(text.contains(":") & ~text.rlike("%$"), _let(text, _v6_hex)))
+    return F.unhex(F.when(text.rlike(rf"^{_V4}\z"), v4).when(text.contains(":") & ~text.endswith("%"), _let(text, _v6_hex)))
 
 
 def _v6_hex(text: Column) -> Column:
     bare = F.regexp_replace(text, "%.+$", "")
 
     def dotted(bare: Column) -> Column:
-        tail = F.regexp_extract(bare, f":({_V4})$", 1)
+        tail = F.regexp_extract(bare, rf":({_V4})\z", 1)
         packed = _let(tail, _v4_hex)
         head = F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
         return F.when(tail == "", bare).otherwise(F.concat(head, F.substring(packed, 1, 4), F.lit(":"), F.substring(packed, 5, 4)))
@@ -54,7 +54,7 @@ def _v6_hex(text: Column) -> Column:
         return F.when(short & (zeros >= 1), F.concat(part(1), F.array_repeat(F.lit("0"), zeros), part(2))).when((F.size(halves) == 1) & (F.size(part(1)) == 8), part(1))
 
     def packed(groups: Column) -> Column:
-        good = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        good = F.forall(groups, lambda g: g.rlike(r"^[0-9A-Fa-f]{1,4}\z"))
         return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(F.upper(g), 4, "0")), ""))
 
     whole = _let(_let(F.split(_let(bare, dotted), "::", -1), filled), packed)

@@ -8,9 +8,11 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TEXT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})?| ([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?)$"
+_TEXT = r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?:T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})?| ([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?)"
+#: A pattern for ``rlike`` that the whole text meets; ``$`` would allow a newline after it.
+_whole = r"^(?:{})\z".format
 _LITERAL = re.compile(_TEXT)
-_DATE = re.compile(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _NANOS = 1_000_000_000
 
 
@@ -31,20 +33,20 @@ def text_to_ns(text: Column) -> Column:
     seconds = F.unix_seconds(F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.coalesce(F.nullif(zone, F.lit("")), F.lit("Z"))).try_cast("timestamp"))
     digits = F.when(rest.startswith(".") | rest.startswith(","), F.substring(rest, F.lit(2), F.length(rest) - 1 - F.length(zone))).otherwise(F.lit("0"))
     fraction = F.rpad(F.substring(digits, 1, 9), 9, "0").cast("bigint")
-    return F.when(text.rlike(_TEXT), F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction))
+    return F.when(text.rlike(_whole(_TEXT)), F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction))
 
 
 def parse_time_ns(text: Column) -> Column:
     """Nanoseconds of what log lines hold: text, else a whole or fractional epoch number (its fraction is dropped)."""
-    whole = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    whole = F.when(text.rlike(_whole("[+-]?[0-9]+")), text.try_cast("bigint"))
+    number = F.when(text.rlike(_whole(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")), text.try_cast("double"))
     from_number = F.when(F.abs(number) < 9.2e18, number.try_cast("bigint"))
     return F.coalesce(text_to_ns(text), epoch_to_ns(whole), F.when(whole.isNull(), epoch_to_ns(from_number)))
 
 
 def clf_time_ns(text: Column) -> Column:
     """Nanoseconds of ``02/Jan/2006:15:04:05 -0700``, else null."""
-    good = text.rlike(r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}$")
+    good = text.rlike(_whole(r"[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}"))
     return F.try_multiply(F.unix_seconds(F.when(good, F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))), F.lit(_NANOS).cast("bigint"))
 
 
@@ -63,7 +65,7 @@ def to_timestamp_us(ns: Column) -> Column:
 
 def literal_ns(text: str) -> int | None:
     """Nanoseconds of a literal in a statement: the text forms, a date alone, or whole nanoseconds."""
-    m = _LITERAL.match(text)
+    m = _LITERAL.fullmatch(text)
     if m:
         date, clock, fraction, zone = m[1], m[2] or m[5], m[3] or m[6] or "0", m[4] or "Z"
         try:
@@ -76,7 +78,7 @@ def literal_ns(text: str) -> int | None:
                 return None
             at -= timedelta(hours=hours, minutes=minutes) * (1 if zone[0] == "+" else -1)
         return round_seconds(at) * _NANOS + int(fraction[:9].ljust(9, "0"))
-    if _DATE.match(text):
+    if _DATE.fullmatch(text):
         try:
             return round_seconds(datetime.fromisoformat(text).replace(tzinfo=timezone.utc)) * _NANOS
         except ValueError:

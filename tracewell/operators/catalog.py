@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ast import Compare, Predicate, Rows, Statement, leaves
+from ..plans.ast import Both, Compare, Predicate, Rows, Statement, leaves
 from ..plans.binder import bind, condition, literal
 from ..plans.compiler import check, shown
 from ..types import Schema
@@ -42,11 +42,19 @@ def time_span(df: DataFrame, schema: Schema, segment_rows: int | None = None) ->
 
 
 def info(df: DataFrame, schema: Schema, segment_rows: int = SEGMENT_ROWS) -> dict:
-    """Rows, columns, segments and time span of a table: one aggregate that reads one column at most."""
+    """Rows, columns, segments and time span of a table: one aggregate that reads ``seq`` and one column.
+
+    Segments are those of ``zone_map``: numbers of ``seq div segment_rows`` that occur. A table without
+    ``seq`` counts as if its rows were numbered.
+    """
     stamps = schema.of_type("timestamp")
     at = F.col(f"`{stamps[0].name}`") if stamps else F.lit(None).cast("bigint")
-    row = df.agg(F.count("*").alias("rows"), F.min(at).alias("a"), F.max(at).alias("b")).first()
-    return {"schema": schema.name, "rows": row["rows"], "columns": len(schema.columns), "segments": -(-row["rows"] // segment_rows), "min_ts": row["a"], "max_ts": row["b"]}
+    stats = [F.count("*").alias("rows"), F.min(at).alias("a"), F.max(at).alias("b")]
+    if "seq" in df.columns:
+        row = df.groupBy(segment_of(segment_rows)).agg(*stats).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("segments")).first()
+    else:
+        row = df.agg(*stats, F.ceil(F.count("*") / segment_rows).alias("segments")).first()
+    return {"schema": schema.name, "rows": row["rows"], "columns": len(schema.columns), "segments": row["segments"], "min_ts": row["a"], "max_ts": row["b"]}
 
 
 def _droppable(schema: Schema, leaf: Compare, at: dict[tuple[str, str], str]) -> Column:
@@ -97,20 +105,26 @@ def prune_report(df: DataFrame, schema: Schema, statement: Statement, segment_ro
     return wide.select("segment_id", "rows", "matched", ((F.col("matched") == 0) & dropped).alias("pruned"))
 
 
+#: Segments whose matches are added up in one task; the groups' own sums are added up in another.
+GROUP = 4096
+
+
 def prune_counts(df: DataFrame, schema: Schema, statement: Statement, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """pruned and scanned segments of a statement; both 0 for count(*) without WHERE, which reads nothing.
 
-    A row query counts segments only up to the one in which its limit is reached.
+    A row query counts segments only up to the one in which its limit is reached. The running sum over
+    segments goes in two steps, within groups of GROUP segments and over the groups, so no task holds all.
     """
-    from pyspark.sql import Window
-
     if statement.where is None and not isinstance(statement.select, Rows):
         return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("pruned"), F.lit(0).cast("bigint").alias("scanned"))
     report = prune_report(df, schema, statement, segment_rows)
     if isinstance(statement.select, Rows):
-        # A row per segment: the running sum is over the catalog, not over the data.
-        before = F.sum("matched").over(Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1))
-        report = report.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < (statement.limit or 1000))
+        report = report.withColumn("group", F.expr(f"segment_id div {GROUP}"))
+        earlier = lambda w: F.coalesce(F.sum("matched").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = report.groupBy("group").agg(F.sum("matched").alias("matched"))
+        groups = groups.select("group", earlier(Window.orderBy("group")).alias("base"))
+        report = report.withColumn("before", earlier(Window.partitionBy("group").orderBy("segment_id"))).join(F.broadcast(groups), "group")
+        report = report.where(F.col("base") + F.col("before") < (statement.limit or 1000))
     return report.agg(F.count_if("pruned").alias("pruned"), F.count_if(~F.col("pruned")).alias("scanned"))
 
 
@@ -118,8 +132,6 @@ def may_match(schema: Schema, predicate: Predicate) -> Column:
     """A condition on ``segment_catalog`` rows that holds wherever a match is possible: bounds decide = IN < > on either side of AND and OR."""
     if not isinstance(predicate, Compare):
         left, right = may_match(schema, predicate.left), may_match(schema, predicate.right)
-        from ..plans.ast import Both
-
         return left & right if isinstance(predicate, Both) else left | right
     field, n = schema.find(predicate.column), predicate.column
     values = [v for v in (bind(field.logical, t) for t in predicate.values) if v is not None]

@@ -44,6 +44,8 @@ def int_profile(df: DataFrame, columns: list[str], segment_rows: int = SEGMENT_R
     turn = F.sum(F.when(F.col("dd").isNotNull(), uvarint_len(zigzag(F.col("dd")))).when(F.col("d").isNotNull(), uvarint_len(zigzag(F.col("d"))))).alias("turns")
     falls = F.count_if(F.col("d") < 0).alias("falls")
     runs = _runs(long, step, turn, falls)
+    # Distinct values of a segment, at most as many as it has rows.
+    words = F.array_sort(F.collect_set("v"))
     plain = runs.groupBy(*keys).agg(
         F.sum("len").alias("n"),
         F.count("*").alias("runs"),
@@ -54,11 +56,11 @@ def int_profile(df: DataFrame, columns: list[str], segment_rows: int = SEGMENT_R
         F.sum(uvarint_len(F.col("v")) + uvarint_len(F.col("len"))).alias("rle"),
         (uvarint_len(F.min_by("v", "run")) + F.coalesce(F.sum("steps"), F.lit(0))).alias("delta"),
         (uvarint_len(F.min_by("v", "run")) + F.coalesce(F.sum("turns"), F.lit(0))).alias("delta2"),
+        words.alias("words"),
     )
-    values = runs.select(*keys, "v").distinct()
-    gap = F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy(*keys).orderBy("v")), F.lit(0))
-    words = values.withColumn("gap", gap).groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum(uvarint_len(F.col("gap"))).alias("gaps"))
-    both = plain.join(words, keys)
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice("words", F.lit(1), F.size("words") - 1))
+    gaps = F.aggregate(F.zip_with("words", before, lambda x, y: uvarint_len(x - y).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    both = plain.withColumn("distinct", F.size("words").cast("bigint")).withColumn("gaps", gaps).drop("words")
     n, width, code = F.col("n"), bit_width(F.col("max") - F.col("min")), bit_width(F.col("distinct") - 1)
     sized = both.select(
         *keys, "n", "distinct", "runs", "min", "max", "sorted",
@@ -79,10 +81,13 @@ def bytes_profile(df: DataFrame, columns: list[str], segment_rows: int = SEGMENT
     size = F.octet_length("v")
     framed = uvarint_len(size.cast("bigint")) + size
     runs = _runs(long)
-    plain = runs.groupBy(*keys).agg(F.sum("len").alias("n"), F.count("*").alias("runs"), F.sum(framed * F.col("len")).alias("raw"), F.sum(framed + uvarint_len(F.col("len"))).alias("rle"))
-    words = runs.select(*keys, "v").distinct().groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum(framed).alias("entries"))
+    words = F.collect_set("v")  # at most as many as a segment has rows
+    plain = runs.groupBy(*keys).agg(F.sum("len").alias("n"), F.count("*").alias("runs"), F.sum(framed * F.col("len")).alias("raw"), F.sum(framed + uvarint_len(F.col("len"))).alias("rle"), words.alias("words"))
+    size_of = lambda w: (uvarint_len(F.octet_length(w).cast("bigint")) + F.octet_length(w)).cast("bigint")
+    entries = F.aggregate("words", F.lit(0).cast("bigint"), lambda x, w: x + size_of(w))
+    both = plain.withColumn("distinct", F.size("words").cast("bigint")).withColumn("entries", entries).drop("words")
     n = F.col("n")
-    sized = plain.join(words, keys).select(*keys, "n", "distinct", "runs", "raw", "rle", (uvarint_len(F.col("distinct")) + F.col("entries") + 1 + F.ceil(n * bit_width(F.col("distinct") - 1) / 8)).cast("bigint").alias("dictionary"))
+    sized = both.select(*keys, "n", "distinct", "runs", "raw", "rle", (uvarint_len(F.col("distinct")) + F.col("entries") + 1 + F.ceil(n * bit_width(F.col("distinct") - 1) / 8)).cast("bigint").alias("dictionary"))
     capped = F.least(F.col("distinct"), F.lit(DISTINCT_PROBE + 1))
     return sized.withColumn("codec", _least([("raw", F.lit(True)), ("rle", F.col("runs") * 3 < n), ("dictionary", (capped * 4 < n * 3) & (capped <= MAX_DICTIONARY))]))
 

@@ -1,4 +1,8 @@
-"""Tables on disk: Parquet with zstd, delta encodings, row-group statistics and Bloom filters on indexed columns."""
+"""Tables on disk: Parquet with zstd, delta encodings, row-group statistics and Bloom filters on indexed columns.
+
+Opt-in indexes (histograms and postings of indexed columns) lie beside the data in ``_index``, which
+readers of the data pass over.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,14 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import Column, Schema
+from ..plans.ast import Count, Top
+from ..plans.compiler import check, compile
+from ..plans.parser import parse
+from ..types import Column, Schema, StorageError
 
 #: Rows of a segment, the unit that pruning is reported in.
 SEGMENT_ROWS = 65_536
@@ -19,13 +27,16 @@ SEGMENT_ROWS = 65_536
 class WriteOptions:
     compression: str = "zstd"  # zstd, lz4 or uncompressed
     zstd_level: int = 3
-    segment_rows: int = SEGMENT_ROWS
+    segment_rows: int | None = None  # rows of a row group, at most; None: by bytes alone, which scans best at size
     bloom: bool = True
     distinct: Mapping[str, int] | None = None  # expected distinct values by column, for the filters' size
     block_bytes: int = 128 << 20
+    index: bool = False  # build histograms and postings of indexed columns
 
     def parquet(self, schema: Schema) -> dict[str, str]:
         out = {"compression": self.compression, "parquet.writer.version": "PARQUET_2_0", "parquet.compression.codec.zstd.level": str(self.zstd_level), "parquet.block.size": str(self.block_bytes), "parquet.page.write-checksum.enabled": "true"}
+        if self.segment_rows:
+            out["parquet.block.row.count.limit"] = str(self.segment_rows)
         # Filters sized by what a file holds; else each would take a megabyte.
         out |= {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.fpp": "0.01"}
         for c in schema.columns:
@@ -41,36 +52,81 @@ class WriteOptions:
 def number_rows(df: DataFrame, name: str = "seq") -> DataFrame:
     """Gapless numbers in scan order: rows count up within a partition after all earlier partitions.
 
-    One pass counts the partitions (their number bounds what reaches the driver), a second
-    numbers; no shuffle. The input must scan alike twice, as files do.
+    One pass counts the partitions, a second numbers; no shuffle. A row for each partition reaches the
+    driver and comes back as a broadcast table of 16 bytes a partition. The input must scan alike twice,
+    as files do.
     """
     place = F.monotonically_increasing_id()
     sizes = sorted((r["p"], r["n"]) for r in df.select(F.shiftright(place, 33).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for p, n in sizes:
-        starts += [F.lit(p), F.lit(total)]
+        starts.append((p, total))
         total += n
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.create_map(*starts)
-    return df.withColumn("_place", place).withColumn(name, (F.element_at(offset, F.shiftright("_place", 33)) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("_place")
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    placed = df.withColumn("_place", place).withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(offsets), "_part", "left")
+    return placed.withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_start")
 
 
 def write_table(df: DataFrame, path: str, schema: Schema, options: WriteOptions | None = None, mode: str = "errorifexists") -> None:
-    """Write records, in ``seq`` order within files where they have it."""
+    """Write records, in ``seq`` order within files where they have it, and their indexes if asked for."""
     options = options or WriteOptions()
     rows = df.sortWithinPartitions("seq") if "seq" in df.columns else df
     kept = [F.col(f"`{c.name}`").alias(c.name, metadata={"logical": c.logical, "indexed": c.indexed, "nullable_hint": c.nullable}) for c in schema.columns]
     rows.select(*(["seq"] if "seq" in df.columns else []), *kept).write.mode(mode).options(**options.parquet(schema)).parquet(path)
+    if options.index:
+        build_index(df.sparkSession, path, options.segment_rows or SEGMENT_ROWS)
 
 
 def read_table(spark: SparkSession, *paths: str) -> tuple[DataFrame, Schema]:
     """A written table and its schema, from the metadata that Parquet keeps with each field."""
-    df = spark.read.parquet(*paths)
+    try:
+        df = spark.read.parquet(*paths)
+    except AnalysisException as e:
+        raise StorageError(f"no table at {', '.join(paths)}: {e.getCondition()}") from e
     whole = Schema.from_struct(df.schema)
     return df, Schema(whole.name, tuple(c for c in whole.columns if c.name != "seq"))
 
 
+def build_index(spark: SparkSession, path: str, segment_rows: int = SEGMENT_ROWS) -> None:
+    """Write the histogram and the postings of each indexed column of a table with ``seq``, from the table as it is."""
+    from .indexes import histogram, postings
+
+    df, schema = read_table(spark, path)
+    if "seq" not in df.columns:
+        raise StorageError(f"the table at {path} has no seq, which indexes refer to")
+    for c in schema.columns:
+        if c.indexed:
+            histogram(df, c.name, segment_rows).write.mode("overwrite").parquet(f"{path}/_index/histogram/{c.name}")
+            postings(df, c.name, segment_rows).write.mode("overwrite").parquet(f"{path}/_index/postings/{c.name}")
+
+
+def read_index(spark: SparkSession, path: str, kind: str, column: str) -> DataFrame | None:
+    """The ``histogram`` or ``postings`` of a column, None if it was not built."""
+    try:
+        return spark.read.parquet(f"{path}/_index/{kind}/{column}")
+    except AnalysisException:
+        return None
+
+
+def query_table(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """The typed result of a statement on a stored table.
+
+    Without a condition, count(*) comes from the footers alone and top from the stored histogram,
+    if there is one; all else is compiled over the data.
+    """
+    from .indexes import histogram_top
+
+    df, schema = read_table(spark, path)
+    statement = check(schema, parse(text))
+    if statement.where is None and isinstance(statement.select, Count):
+        return footer_stats(spark, path).select(F.col("rows").alias("count"))
+    if statement.where is None and isinstance(statement.select, Top):
+        found = read_index(spark, path, "histogram", statement.select.column)
+        if found is not None:
+            return histogram_top(found, schema, statement.select.column, statement.select.n)
+    return compile(df, schema, statement)
+
+
 def footer_stats(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """rows, and min and max of the columns, from Parquet footers alone.
 

@@ -19,6 +19,9 @@ from .. import types
 from .ast import Both, Compare, Predicate
 
 
+_DOUBLE = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+
+
 def bind(logical: str, text: str) -> Any | None:
     """The value of a literal for a logical type."""
     if logical == "ip":
@@ -26,10 +29,7 @@ def bind(logical: str, text: str) -> Any | None:
     if logical in ("enum", "string"):
         return text
     if logical == "double":
-        try:
-            return float(text)
-        except ValueError:
-            return None
+        return float(text) if _DOUBLE.fullmatch(text) else None
     if logical == "timestamp" and (ns := literal_ns(text)) is not None:
         return ns
     if logical == "bool" and text in ("true", "false"):

@@ -1,31 +1,32 @@
-"""Adapters: a line of a known log format to a typed record, all in Column expressions.
+"""Adapters: a line of a known log format to a typed record.
 
-An adapter's ``decode`` adds a struct of its schema to the lines, null where a line is to be skipped.
-A bad field inside a good line is null; no line fails a job. Decoding goes in steps, a projection
-each, so that what several fields need is computed once; a partition number in the first keeps the
-optimizer from copying all of it into the filter on skipped lines.
+An adapter's ``rows`` makes, on a worker, a function from lines to tuples of its schema's values, or None where
+a line is to be skipped. A bad field inside a good line is null; no line fails a job. Lines are decoded an
+Arrow batch at a time (``decoders``), without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ip import normalize_ip
-from ..functions.text import ascii_upper, split_clf, trim_blank
-from ..functions.timeparse import clf_time_ns, parse_time_ns
-from ..functions.variants import first_text, first_uint, kinds
 from ..types import GENERIC_FLOW, HONEYPOT, WEB_ACCESS, Schema, TracewellError
+from . import decoders
+
+cloudpickle.register_pickle_by_value(decoders)  # workers need not have this package
 
 
 @dataclass(frozen=True)
 class Adapter:
     name: str
     schema: Schema
-    decode: Callable[[DataFrame, str], DataFrame]  # lines and the name of their text column
+    rows: Callable[[Schema], Callable[[], Callable]]  # for a schema: what a worker calls for its function from lines to tuples
 
 
 _registry: dict[str, Adapter] = {}
@@ -36,10 +37,15 @@ def register(adapter: Adapter) -> Adapter:
     return adapter
 
 
-def get(name: str) -> Adapter:
+def get(name: str, wide: bool = False) -> Adapter:
+    """The adapter of a source; ``wide`` keeps its unsigned numbers up to 2^64 as decimals, else those from 2^63 on are null."""
     if name not in _registry:
         raise TracewellError(f"unknown source {name!r}; known: {', '.join(names())}")
-    return _registry[name]
+    found = _registry[name]
+    if not wide:
+        return found
+    columns = tuple(replace(c, logical="wide") if c.logical == "uint" else c for c in found.schema.columns)
+    return replace(found, schema=replace(found.schema, columns=columns).check())
 
 
 def names() -> list[str]:
@@ -74,76 +80,48 @@ HONEYPOT_KEYS = {
 }
 
 
-def _hold():
-    return F.spark_partition_id().alias("_part")
-
+#: Arrow types of a record's fields by logical type.
+_ARROW = {"timestamp": pa.int64(), "ip": pa.binary(), "uint": pa.int64(), "wide": pa.decimal128(20, 0), "port": pa.int64(), "enum": pa.string(), "string": pa.string()}
 
-def _json_decoder(schema: Schema, keys: dict[str, tuple[str, ...]]) -> Callable[[DataFrame, str], DataFrame]:
-    wanted = dict.fromkeys(k for names_ in keys.values() for k in names_)
-    shape = ", ".join(f"`{k}` variant" for k in wanted) + ", `_bad` string"
-    first = {"uint": first_uint, "port": first_uint}
-    last = {"timestamp": parse_time_ns, "ip": normalize_ip}
 
-    def decode(lines: DataFrame, column: str) -> DataFrame:
-        kept = [F.col(f"`{c}`") for c in lines.columns]
-        record = F.from_json(F.col(f"`{column}`"), shape, {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"})
-        parsed = lines.select(*kept, record.alias("_record"), _hold())
-        told = parsed.select(*kept, "_record", "_part", kinds(F.col("_record"), list(wanted)).alias("_kinds"))
-        raw = told.select(*kept, (F.col("_record._bad").isNull() & (F.col("_part") >= 0)).alias("_whole"), *(first.get(c.logical, first_text)(F.col("_record"), F.col("_kinds"), keys[c.name]).alias(f"_{c.name}") for c in schema.columns))
-        typed = raw.select(*kept, "_whole", *((ascii_upper if c.name == "country" else last.get(c.logical, lambda x: x))(F.col(f"_{c.name}")).alias(f"_{c.name}") for c in schema.columns))
-        usable = F.col("_whole") & (trim_blank(F.col(f"`{column}`")) != "") & F.col("_timestamp").isNotNull()
-        return typed.select(*kept, F.when(usable, F.struct(*(F.col(f"_{c.name}").alias(c.name) for c in schema.columns))).alias("record"))
+def _limits(schema: Schema) -> dict[str, int]:
+    return {c.name: 1 << 64 for c in schema.columns if c.logical == "wide"}
 
-    return decode
 
+def _json(keys: dict[str, tuple[str, ...]]) -> Callable[[Schema], Callable]:
+    def of(schema: Schema) -> Callable:
+        kinds = {"port": "uint", "wide": "uint"}
+        fields, limits = [(c.name, kinds.get(c.logical, c.logical)) for c in schema.columns], _limits(schema)
+        return lambda: decoders.json_rows(fields, keys, limits)
 
-def _decode_web(lines: DataFrame, column: str) -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in lines.columns]
-    trimmed = lines.select(*kept, trim_blank(F.col(f"`{column}`")).alias("_text"), _hold())
-    split = trimmed.select(*kept, "_text", "_part", split_clf(F.col("_text")).alias("_tokens"))
-    token = lambda i: F.try_element_at(F.col("_tokens"), F.lit(i + 1))
-    parts = split.select(*kept, "_text", "_part", "_tokens", token(0).alias("_host"), clf_time_ns(token(3)).alias("_time"), F.split(token(4), " ", 3).alias("_request"))
-    digits = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
-    said = lambda c: F.when((c != "") & (c != "-"), c)
-    extra = F.size("_tokens") >= 9
-    record = F.struct(
-        F.col("_time").alias("timestamp"),
-        normalize_ip(F.col("_host")).alias("srcip"),
-        F.try_element_at("_request", F.lit(1)).alias("method"),
-        F.try_element_at("_request", F.lit(2)).alias("path"),
-        digits(token(5)).alias("status"),
-        F.coalesce(digits(token(6)), F.lit(0).cast("bigint")).alias("bytes"),
-        F.when(extra, said(token(7))).alias("referer"),
-        F.when(extra, said(token(8))).alias("useragent"),
-    )
-    usable = (F.col("_part") >= 0) & (F.col("_text") != "") & ~F.col("_text").startswith("#") & (F.size("_tokens") >= 7) & (F.size("_request") >= 2) & F.col("_time").isNotNull()
-    return parts.select(*kept, F.when(usable, record).alias("record"))
+    return of
 
 
-register(Adapter("generic-flow", GENERIC_FLOW, _json_decoder(GENERIC_FLOW, FLOW_KEYS)))
-register(Adapter("honeypot", HONEYPOT, _json_decoder(HONEYPOT, HONEYPOT_KEYS)))
-register(Adapter("web-access", WEB_ACCESS, _decode_web))
+def _web(schema: Schema) -> Callable:
+    limits = _limits(schema)
+    return lambda: decoders.web_rows(limits)
 
 
-#: Bytecode of a generated method beyond which the JVM does not compile it to machine code.
-_JIT_LIMIT = 8000
+register(Adapter("generic-flow", GENERIC_FLOW, _json(FLOW_KEYS)))
+register(Adapter("honeypot", HONEYPOT, _json(HONEYPOT_KEYS)))
+register(Adapter("web-access", WEB_ACCESS, _web))
 
 
-def decode_lines(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
-    """``record`` (null where a line is skipped) beside the other columns of ``lines``.
+def decode_lines(lines: DataFrame, source: str, column: str = "value", wide: bool = False, numbered: bool = False) -> DataFrame:
+    """``record`` (null where a line is skipped) after the columns of ``lines``; a null line is skipped.
 
-    Decoding many fields makes one generated method too large for the JVM's compiler; the session is
-    told to split such stages instead, which triples the rate of the JSON formats.
+    ``numbered`` adds ``seq`` to a stream's lines: numbers that rise from batch to batch.
     """
-    conf = lines.sparkSession.conf
-    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > _JIT_LIMIT:
-        conf.set("spark.sql.codegen.hugeMethodLimit", str(_JIT_LIMIT))
-    return get(source).decode(lines, column)
+    adapter = get(source, wide)
+    struct = adapter.schema.struct()
+    plain = T.StructType([T.StructField(f.name, f.dataType) for f in struct])
+    out = T.StructType([*lines.schema.fields, T.StructField("record", plain), *([T.StructField("seq", T.LongType())] if numbered else [])])
+    fields = [(c.name, _ARROW[c.logical]) for c in adapter.schema.columns]
+    return lines.mapInArrow(decoders.decoder(adapter.rows(adapter.schema), lines.columns.index(column), fields, numbered), out)
 
 
-def records(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
+def records(lines: DataFrame, source: str, column: str = "value", wide: bool = False) -> DataFrame:
     """The typed records of the lines that are not skipped, with field metadata."""
-    adapter = get(source)
-    kept = decode_lines(lines, source, column).where("record is not null").select("record.*")
-    fields = {f.name: f.metadata for f in adapter.schema.struct()}
+    kept = decode_lines(lines.select(column), source, column, wide).where("record is not null").select("record.*")
+    fields = {f.name: f.metadata for f in get(source, wide).schema.struct()}
     return kept.select(*(F.col(f"`{n}`").alias(n, metadata=m) for n, m in fields.items()))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..types import TracewellError
 
-# The pools that values are drawn from.
+# Compression ratios are compared with published ones on lines of this distribution, so the pools
+# and ranges that values are drawn from are those of the published measurement.
 NETWORKS = ((4134, "CN"), (4837, "CN"), (14061, "US"), (16509, "US"), (15169, "US"), (13335, "US"), (8075, "US"), (24940, "DE"), (16276, "FR"), (12389, "RU"), (8359, "RU"), (9009, "GB"), (45102, "CN"), (37963, "CN"), (3462, "TW"))
 FLOW_PORTS = (443, 80, 53, 22, 3389, 8080, 25, 123)
 FLOW_PROTOCOLS = ("tcp", "tcp", "tcp", "udp")

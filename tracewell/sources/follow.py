@@ -2,7 +2,8 @@
 
 Spark's file source takes a file once; lines appended later are never seen. This source keeps a
 byte offset per file in the query's checkpoint and hands out whole lines that were added since,
-so a restarted query goes on where it stopped.
+so a restarted query goes on where it stopped. The driver reads the files, so it follows a handful of
+logs on its own machine; many files, or files elsewhere, come as a folder stream (``stream_lines``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..types import MAX_LINE
 
-#: Bytes of one file that a micro-batch reads, at most (a longer line is read whole, up to MAX_LINE).
+#: Bytes of one file that a micro-batch reads, at most (and MAX_LINE more where no line ends in them).
 BATCH_BYTES = 32 << 20
 
 
@@ -57,18 +58,33 @@ class _Follower(SimpleDataSourceStreamReader):
         pass
 
 
-def _added(path: str, start: int, stop: int | None) -> tuple[list[tuple[str]], int]:
-    """Whole lines from ``start`` on, and where they end."""
-    size = os.path.getsize(path)
-    start = 0 if size < start else start  # the file was cut: begin anew
+def _added(path: str, start: int, stop: int | None) -> tuple[list[tuple[str | None]], int]:
+    """Whole lines from ``start`` on, and where they end.
+
+    A line longer than MAX_LINE gives one null, so that it is counted and skipped. If its end is not yet
+    there, the place inside it comes back as a negative number, and the rest of the line is passed over later.
+    """
+    size, inside = os.path.getsize(path), start < 0
+    start = abs(start)
+    if size < start:  # the file was cut: begin anew
+        start, inside = 0, False
+    to = min(abs(stop), size) if stop is not None else min(size, start + BATCH_BYTES)
     with open(path, "rb") as f:
         f.seek(start)
-        data = f.read((min(stop, size) if stop is not None else min(size, start + BATCH_BYTES)) - start)
+        data = f.read(to - start)
         if stop is None and data and b"\n" not in data:
             data += f.readline(MAX_LINE)
+    lines: list[tuple[str | None]] = []
+    if inside:
+        end = data.find(b"\n") + 1
+        if not end:
+            return [], -(start + len(data)) if data else -start
+        start, data = start + end, data[end:]
     cut = data.rfind(b"\n") + 1
-    lines = data[:cut].split(b"\n")[:-1]
-    return [(line.decode("utf-8", "replace"),) for line in lines if len(line) <= MAX_LINE], start + cut
+    lines += [(line.decode("utf-8", "replace") if len(line) <= MAX_LINE else None,) for line in data[:cut].split(b"\n")[:-1]]
+    if len(data) - cut > MAX_LINE:
+        return [*lines, (None,)], -(start + len(data))
+    return lines, start + cut
 
 
 def follow(spark: SparkSession, path: str, from_end: bool = False):

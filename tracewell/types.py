@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 MAX_COLUMNS = 4096
-#: Longest line and longest value that are taken in, in bytes.
+#: Longest line that is taken in, in bytes; no value of a line can be longer.
 MAX_LINE = 4 << 20
-MAX_VALUE = 16 << 20
 
 
 class TracewellError(ValueError):
@@ -24,6 +23,10 @@ class QueryError(TracewellError):
     """A statement that does not parse, or names a column that is not there."""
 
 
+class StorageError(TracewellError):
+    """A path that holds no table of this package, or an index that was not built."""
+
+
 #: Spark types of the logical types. Numbers of nanoseconds are authoritative for timestamps, as
 #: Spark's own keep microseconds only. ``double`` is an extension for tables from elsewhere.
 LOGICAL = {
@@ -85,13 +88,52 @@ class Schema:
         return cls(name, tuple(Column(f.name, (f.metadata or {}).get("logical") or plain.get(f.dataType.simpleString(), "string"), bool((f.metadata or {}).get("indexed")), bool((f.metadata or {}).get("nullable_hint"))) for f in struct)).check()
 
 
-def _schema(number: int, name: str, text: str) -> Schema:
-    """``column:type`` words; ``*`` marks an indexed column, ``?`` one that may be null."""
-    return Schema(name, tuple(Column(w.split(":")[0], w.split(":")[1].rstrip("*?"), "*" in w, "?" in w) for w in text.split()), number).check()
-
-
 # The three registered table layouts.
-GENERIC_FLOW = _schema(1, "generic-flow", "timestamp:timestamp srcip:ip* dstip:ip* srcport:port dstport:port* protocol:enum* asn:uint* country:enum*? eventtype:enum* bytes:uint packets:uint")
-HONEYPOT = _schema(2, "honeypot", "timestamp:timestamp srcip:ip* srcport:port dstport:port* protocol:enum* eventtype:enum* username:string*? password:string? country:enum*? asn:uint*")
-WEB_ACCESS = _schema(3, "web-access", "timestamp:timestamp srcip:ip* method:enum* path:string* status:uint* bytes:uint referer:string? useragent:string*?")
+GENERIC_FLOW = Schema(
+    "generic-flow",
+    (
+        Column("timestamp", "timestamp"),
+        Column("srcip", "ip", indexed=True),
+        Column("dstip", "ip", indexed=True),
+        Column("srcport", "port"),
+        Column("dstport", "port", indexed=True),
+        Column("protocol", "enum", indexed=True),
+        Column("asn", "uint", indexed=True),
+        Column("country", "enum", indexed=True, nullable=True),
+        Column("eventtype", "enum", indexed=True),
+        Column("bytes", "uint"),
+        Column("packets", "uint"),
+    ),
+    id=1,
+).check()
+HONEYPOT = Schema(
+    "honeypot",
+    (
+        Column("timestamp", "timestamp"),
+        Column("srcip", "ip", indexed=True),
+        Column("srcport", "port"),
+        Column("dstport", "port", indexed=True),
+        Column("protocol", "enum", indexed=True),
+        Column("eventtype", "enum", indexed=True),
+        Column("username", "string", indexed=True, nullable=True),
+        Column("password", "string", nullable=True),
+        Column("country", "enum", indexed=True, nullable=True),
+        Column("asn", "uint", indexed=True),
+    ),
+    id=2,
+).check()
+WEB_ACCESS = Schema(
+    "web-access",
+    (
+        Column("timestamp", "timestamp"),
+        Column("srcip", "ip", indexed=True),
+        Column("method", "enum", indexed=True),
+        Column("path", "string", indexed=True),
+        Column("status", "uint", indexed=True),
+        Column("bytes", "uint"),
+        Column("referer", "string", nullable=True),
+        Column("useragent", "string", indexed=True, nullable=True),
+    ),
+    id=3,
+).check()
 SCHEMAS = {s.name: s for s in (GENERIC_FLOW, HONEYPOT, WEB_ACCESS)}
