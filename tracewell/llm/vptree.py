@@ -162,8 +162,7 @@ def fit(fp: np.ndarray, size: np.ndarray | None, total: int, shard: int, rule: R
         tree.nodes["outer"][me] = grow(outer, mask)
         return me
 
-    chosen = masks(rule.reach, total / shard) if total > shard else []
-    for mask in chosen or [0]:
+    for mask in masks(rule.reach, max(1.0, total / shard)) or [0]:
         tree.roots.append(grow(np.arange(len(fp)), mask))
     return tree
 
@@ -252,30 +251,35 @@ def links(fp: np.ndarray, size: np.ndarray | None, sketch: np.ndarray | None, ru
         cell = fp & np.uint64(bits)
         order = np.argsort(cell, kind="stable")
         start = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
-        length = np.diff(np.r_[start, len(fp)])
-        left = np.repeat(start + length, length) - np.arange(len(fp)) - 1  # members of the ball that follow
-        left[np.repeat(length > LEAF, length)] = 0
-        for k in range(1, LEAF):
-            at = np.flatnonzero(left >= k)
-            if not len(at):
-                break
-            a, b = order[at], order[at + k]
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= rule.reach
-            a, b = a[near], b[near]
-            if rule.ratio or rule.similar:
-                ok = _agree(a, b, size, sketch, rule)
-                a, b = a[ok], b[ok]
-            if len(a):
-                out.append(np.stack([a, b], axis=1))
-            if sum(map(len, out)) > HELD:
-                pairs = np.concatenate(out)
-                out = [_forest(pairs[:, 0], pairs[:, 1])]
-        for i in np.flatnonzero(length > LEAF).tolist():
-            _inside(np.sort(order[start[i] : start[i] + length[i]]), fp, size, sketch, rule, rng, out)
+        within_cells(order, start, fp, size, sketch, rule, rng, out)
     pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
     return _forest(pairs[:, 0], pairs[:, 1])
 
 
+def within_cells(order: np.ndarray, start: np.ndarray, fp: np.ndarray, size: np.ndarray | None, sketch: np.ndarray | None, rule: Rule, rng: np.random.Generator, out: list) -> None:
+    """Links inside each of the cells order[start[i] : start[i + 1]]: small ones all at once, large ones by ``_inside``."""
+    length = np.diff(np.r_[start, len(order)])
+    left = np.repeat(start + length, length) - np.arange(len(order)) - 1  # members of the cell that follow
+    left[np.repeat(length > LEAF, length)] = 0
+    for k in range(1, LEAF):
+        at = np.flatnonzero(left >= k)
+        if not len(at):
+            break
+        a, b = order[at], order[at + k]
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= rule.reach
+        a, b = a[near], b[near]
+        if rule.ratio or rule.similar:
+            ok = _agree(a, b, size, sketch, rule)
+            a, b = a[ok], b[ok]
+        if len(a):
+            out.append(np.stack([a, b], axis=1))
+        if sum(map(len, out)) > HELD:
+            pairs = np.concatenate(out)
+            out[:] = [_forest(pairs[:, 0], pairs[:, 1])]
+    for i in np.flatnonzero(length > LEAF).tolist():
+        _inside(np.sort(order[start[i] : start[i] + length[i]]), fp, size, sketch, rule, rng, out)
+
+
 def _inside(at: np.ndarray, fp: np.ndarray, size: np.ndarray | None, sketch: np.ndarray | None, rule: Rule, rng: np.random.Generator, out: list) -> None:
     """Links among ``at``, by vantage points over all bits down to LEAF items or where no split helps."""
     todo = [at]
