@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from ._work import gathered, ship, slices, stash, suspects, text_views
+from ._work import gathered, ship, slices, stash, suspects, text_views, wide
 from .components import components
 
 #: Fingerprints that the top trees are fitted on, at least.
@@ -234,16 +234,32 @@ def _verified(groups: DataFrame, met: DataFrame, rule: vptree.Rule, block: int =
     dealt = met.join(F.broadcast(large), "ball", "left").withColumn("own", F.pmod(F.xxhash64("key", F.lit(5)), cut).cast("int"))  # a ball in that table has tens of thousands of rows
     dealt = dealt.select("key", "ball", "own", F.explode(F.sequence(F.lit(0), cut - 1)).alias("other")).select("key", "ball", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
-    def joined(part: pd.DataFrame) -> pd.DataFrame:
-        key, out = part["key"].to_numpy(np.int64), []
-        if len(key) > 1:
-            marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint16).reshape(len(part), -1)
-            vptree._leaf(np.arange(len(key)), part["fp"].to_numpy(np.int64).view(np.uint64), part["size"].to_numpy(np.int64), marks, rule, out)
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        ball, key, fp, size = (table.column(c).to_numpy() for c in ("ball", "key", "fp", "size"))
+        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(key), -1)
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        start, out = np.flatnonzero(np.r_[True, (np.diff(ball) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)]), []
+        vptree.within_cells(np.arange(len(key)), start, fp.view(np.uint64), size, marks, rule, np.random.default_rng(1), out)
         pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
         pairs = vptree._forest(pairs[:, 0], pairs[:, 1])
-        return pd.DataFrame({"u": key[pairs[:, 0]], "v": key[pairs[:, 1]]})
+        return pa.RecordBatch.from_arrays([pa.array(key[pairs[:, 0]]), pa.array(key[pairs[:, 1]])], names=["u", "v"])
 
-    return dealt.join(groups, "key").groupBy("ball", "a", "b").applyInPandas(joined, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            turn = np.flatnonzero(np.diff(batch.column(0).to_numpy()) != 0) + 1
+            if rows + batch.num_rows > block and (len(turn) or held and held[-1].column(0)[-1] != batch.column(0)[0]):
+                # Whole balls go; the last one may go on in the next batch.
+                cut = int(turn[-1]) if len(turn) else 0
+                yield linked(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield linked(pa.Table.from_batches(held))
+
+    placed = dealt.join(groups, "key").select("ball", "a", "b", "key", "fp", "size", "sketch")
+    return placed.repartition(wide(groups.sparkSession), "ball", "a", "b").sortWithinPartitions("ball", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, reach: int = 20, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
