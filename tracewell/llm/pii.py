@@ -2,18 +2,20 @@
 
 Base spans come from fixed patterns with their checks and always stay. Generators with high
 recall then propose further, overlapping candidates (obscured mail addresses, local telephone
-numbers, grouped or cut card numbers, IPv6 addresses, long random keys). Boosted trees look at the
+numbers, cut or masked card numbers, national identity numbers, bank accounts, IPv6 addresses, long
+random keys). Boosted trees look at the
 format of a candidate and at the text around it; a threshold calibrated on held-back candidates
 decides which are added. Where accepted spans overlap, the likelier one stays.
 
-No table labels spans, so the trees learn from a bounded sample that labels itself: base spans
-written in other ways (``alice at mail dot example dot com``) are positives in their own context;
-candidates that fail the checks of their kind and words that merely contain the cue are negatives.
+No table labels spans, so the trees learn from a bounded sample that labels itself: personal data
+written in other ways (``alice at mail dot example dot com``) and put into sampled texts are positives;
+numbers and words that merely look like it are negatives.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import pickle
 import random
@@ -30,13 +32,13 @@ from ._work import ship, slices, text_views
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds; they sort after the base kinds, in this order.
-ADDED = ("email_obscured", "phone_local", "ip6", "secret")
+ADDED = ("email_obscured", "phone_local", "ip6", "secret", "card_cut", "national_id", "iban")
 KINDS = BASE + ADDED
 #: Rows that the trees learn from, at most, and the share of true candidates that added spans must have.
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 4000
 #: Candidates of a kind, true and false ones each, under which the built-in texts are learnt from too.
-KIND_LEAST = 40
+KIND_LEAST = 150
 PRECISION = 0.98
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,16 +89,22 @@ def base_spans(text: str) -> list[Span]:
 _GENERATORS = {
     "email_obscured": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?at ?[\])}>] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({<] ?dot ?[\])}>]| dot ) ?[A-Za-z0-9-]{2,63}){1,5}|[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,5}"),
     "phone_local": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9])"),
-    "ip6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])"),
+    "ip6": re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?:%[0-9A-Za-z]+)?(?![0-9A-Za-z:])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"),
+    "card_cut": re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[ ./_,|\n-]{1,3}[0-9]{4}){2}[ ./_,|\n-]{1,3}[0-9]{1,7}|[0-9]{4}[ ./_,|\n-]{1,3}[0-9]{6}[ ./_,|\n-]{1,3}[0-9]{5}|[0-9]{4}(?:[ -]?[0-9Xx*\u2022]{2,4}){2,3}[ -]?[0-9]{4})(?![0-9])"),
+    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 _CUES = {
     "email_obscured": (" at ", "at)", "at]", "at}", "at>"),
     "phone_local": None,
     "ip6": (":",),
     "secret": None,
+    "card_cut": None,
+    "national_id": None,
+    "iban": None,
 }
-_CONTEXT = re.compile(r"(mail|contact|write|reach|@)|(phone|tel|call|mobile|fax|ring)|(ip|host|addr|server|ping)|(token|key|secret|passw|auth|bearer|api)|(version|order|invoice|isbn|ref|no\.|page|date)", re.I)
+_CONTEXT = re.compile(r"(mail|contact|write|reach|@)|(phone|tel|call|mobile|fax|ring)|(ip|host|addr|server|ping)|(token|key|secret|passw|auth|bearer|api)|(version|order|invoice|isbn|ref|no\.|page|date|part)|(ssn|social|tax|identity|passport|iban|account|bank|card|visa|credit)", re.I)
 AROUND = 40
 
 
@@ -125,13 +133,26 @@ def features(text: str, span: Span) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in seen.values())
     turns = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:])) / n
     before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
-    words = [0.0] * 5
+    words = [0.0] * 6
     for m in _CONTEXT.finditer(before):
         words[m.lastindex - 1] = 1.0
     groups = re.findall(r"[0-9]+", s)
     last = re.split(r"[^A-Za-z]+", s)[-1]
     quoted = float(before[-1:] in ("'", '"', "`", "=") or after[:1] in ("'", '"', "`"))
-    return [float(ADDED.index(kind)), n, digits / n, letters / n, upper / n, entropy, turns, s.count(" ") / n, float(len(groups)), float(len(groups[-1]) if groups else 0), float(len(last)), float("dot" in s), float("[" in s or "(" in s), s.count(":"), float(bool(re.fullmatch(r"[0-9a-f]+", s))), quoted, float(before[-2:].strip() in ("=", ":")), *words]
+    return [float(ADDED.index(kind)), n, digits / n, letters / n, upper / n, entropy, turns, s.count(" ") / n, float(len(groups)), float(len(groups[-1]) if groups else 0), float(len(last)), float(len(re.findall(r"\bdot\b|\.", s))), float("[" in s or "(" in s), s.count(":"), float(bool(re.fullmatch(r"[0-9a-f]+", s))), quoted, float(before[-2:].strip() in ("=", ":")), *words, *_checks(s)]
+
+
+def _checks(s: str) -> list[float]:
+    """Whether a text passes the checks of cards, accounts, addresses and identity numbers; how much of it is masked."""
+    digits = re.sub("[^0-9]", "", s)
+    plain = re.sub("[ -]", "", s)
+    account = "".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4]) if plain.isascii() and plain.isalnum() and len(plain) < 40 else ""
+    try:
+        six = float(":" in s and ipaddress.IPv6Address(s).packed != bytes(16))
+    except ValueError:
+        six = 0.0
+    area = float(len(s) == 11 and s[3:4] == "-" and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")
+    return [float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(account) and int(account) % 97 == 1), six, area, sum(ch in "*xX\u2022" for ch in s) / len(s)]
 
 
 # ---- boosted trees ----------------------------------------------------------------------------
@@ -189,26 +210,82 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def _disguised(rng: random.Random, kind: str, value: str) -> Span | tuple[str, str]:
-    """A base value written so that only a generator finds it."""
-    if kind == "email":
+#: The added kind that a base kind is disguised as.
+_AS = {"email": "email_obscured", "ip": "ip6", "card": "card_cut", "phone": "phone_local"}
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def _card(rng: random.Random) -> str:
+    """Sixteen digits that pass Luhn."""
+    body = rng.choice("3456") + _digits(rng, 14)
+    return next(body + d for d in "0123456789" if luhn(body + d))
+
+
+def _account(rng: random.Random) -> str:
+    """A bank account with its check digits."""
+    country, body = rng.choice((("DE", 18), ("FR", 23), ("GB", 18), ("ES", 20), ("NL", 14)))
+    rest = ("".join(rng.choice("ABCDEFGHKLMN") for _ in range(4)) if country in ("GB", "NL") else "") + _digits(rng, body)
+    rest = rest[:body]
+    check = 98 - int("".join(str(int(ch, 36)) for ch in rest + country + "00")) % 97
+    whole = f"{country}{check:02d}{rest}"
+    return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if rng.randrange(2) else whole
+
+
+def disguised(rng: random.Random, kind: str, value: str) -> str:
+    """Personal data of an added kind, from a base value where it has one."""
+    if kind == "email_obscured":
+        if "@" not in value:
+            name, other = ("".join(rng.choice(("ba", "ri", "lo", "ne", "ta", "mi", "su", "jo", "ker", "an")) for _ in range(rng.randrange(1, 4))) for _ in range(2))
+            value = rng.choice((name, f"{name}.{other}", f"{name}{rng.randrange(99)}", f"{name}_{other[:2]}")) + "@" + rng.choice((other, f"mail.{other}", f"{other}{rng.randrange(9)}.{name}")) + rng.choice((".com", ".org", ".net", ".de", ".co.uk", ".io", ".info"))
         local, domain = value.split("@", 1)
-        style = rng.randrange(3)
-        at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."))[style]
-        return "email_obscured", local + at + domain.replace(".", dot)
-    if kind == "ip":
-        return "ip6", ":".join(f"{rng.randrange(65536):x}" for _ in range(8))
-    if kind == "phone":
-        d = "".join(filter(str.isdigit, value))[-10:].rjust(10, "5")
-        return "phone_local", (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[rng.randrange(3)]
+        at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."))[rng.randrange(3)]
+        return local + at + domain.replace(".", dot)
+    if kind == "ip6":
+        groups = [f"{rng.randrange(65536):x}" for _ in range(8)]
+        style = rng.randrange(4)
+        k = rng.randrange(1, 6)
+        return (":".join(groups), ":".join(groups[:k]) + "::" + ":".join(groups[k + 1 :][: rng.randrange(0, 3)]), f"fe80::{groups[0]}", f"2001:db8::{groups[1]}:{groups[2]}")[style]
+    if kind == "phone_local":
+        d = re.sub("[^0-9]", "", value)[-10:].rjust(10, "5") if value.startswith("+") else _digits(rng, 10)
+        return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[rng.randrange(3)]
+    if kind == "card_cut":
+        c = _card(rng)
+        cut = rng.choice((".", "/", " - ", "  ", "_", "\n"))
+        masked = f"{c[:4]} {rng.choice(('****', 'XXXX', 'xxxx'))} {rng.choice(('****', 'XXXX'))} {c[12:]}"
+        return rng.choice((cut.join((c[:4], c[4:8], c[8:12], c[12:])), masked))
+    if kind == "national_id":
+        return f"{rng.randrange(1, 899):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}".replace("666-", "665-")
+    if kind == "iban":
+        return _account(rng)
     alphabet = rng.choice(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-    return "secret", "".join(rng.choice(alphabet) for _ in range(rng.choice((32, 40, 48, 88, 344))))
+    return "".join(rng.choice(alphabet) for _ in range(rng.choice((32, 40, 48, 88, 344))))
+
+
+def lookalikes(rng: random.Random, words: list[str], i: int) -> list[str]:
+    """What the generators propose, or nearly so, and is no personal data."""
+    n = rng.randrange(10**6)
+    card = _digits(rng, 16)
+    card = card if not luhn(card) else card[:-1] + str((int(card[-1]) + 1) % 10)
+    account = _account(rng).replace(" ", "")
+    return [
+        f"{words[i]} at {words[i + 1]} dot", f"{words[i]} at {words[i + 1]} {words[i + 2]}", f"{words[i]} (at) {words[i + 1]}.",
+        f"{n % 2000}-{n % 12 + 1:03d}-{n % 28 + 1:02d}", f"{n % 24}:{n % 60:02d}:{n % 59:02d}", f"{words[i]} :: {words[i + 1]}", f" :: {words[i]}", "::",
+        f"{words[i]}-{words[i + 1]}-{words[i + 2]}-2024", f"/usr/{words[i]}/{words[i + 1]}/{words[i + 2]}/v2", f"page {n % 99} {n % 999:03d} {n % 99:02d}", "_".join(words[i : i + 3]).lower() + "_1",
+        " - ".join((card[:4], card[4:8], card[8:12], card[12:])), ".".join((card[:4], card[4:8], card[8:12], card[12:])), "1998 - 2003 - 2008 - 2013", f"{rng.randrange(900, 999)}-{n % 99:02d}-{n % 9999:04d}", f"000-{n % 99:02d}-{n % 9999:04d}", f"part {n % 899 + 1:03d}-{n % 99:02d}-0000",
+        account[:2] + f"{(int(account[2:4]) + 7) % 100:02d}" + account[4:], f"AB{n % 90 + 10} {_digits(rng, 4)} {_digits(rng, 4)} {_digits(rng, 4)}",
+    ]
 
 
 def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Self-labelled candidates: disguised base values as positives, look-alikes as negatives."""
+    """Self-labelled candidates: disguised personal data as positives, look-alikes as negatives."""
     rng, x, y = random.Random(seed), [], []
-    cue = {"email_obscured": ("mail: ", "contact ", "", ""), "phone_local": ("tel: ", "call ", "phone ", ""), "ip6": ("host ", "server ", ""), "secret": ('token = "', "key: ", "api_key=", "")}
+    cue = {
+        "email_obscured": ("mail: ", "contact ", "", ""), "phone_local": ("tel: ", "call ", "phone ", ""), "ip6": ("host ", "server ", ""), "secret": ('token = "', "key: ", "api_key=", ""),
+        "card_cut": ("card ", "visa: ", "paid with ", ""), "national_id": ("ssn ", "social security ", "tax id: ", ""), "iban": ("iban ", "account: ", "bank ", ""),
+    }
 
     def take(text: str, a: int, b: int, want: int) -> None:
         for c in candidates(text):
@@ -218,26 +295,24 @@ def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarra
 
     for text in texts:
         text = text[:SAMPLE_CHARS]
-        for kind, a, b in base_spans(text) or [("email", 0, 0)]:
-            value = text[a:b] if b else f"user{rng.randrange(99)}@mail{rng.randrange(9)}.example.org"
-            for k in dict.fromkeys((kind, rng.choice(BASE))):
-                new, said = _disguised(rng, k, value if k == kind else f"u{rng.randrange(99)}@h{rng.randrange(9)}.net" if k == "email" else "+1 (555) 555-0100")
+        found = base_spans(text)
+        for kind, a, b in found or [("email", 0, 0)]:
+            for turn, new in enumerate((_AS[kind], *rng.sample(ADDED, 2))):
+                said = disguised(rng, new, text[a:b] if not turn else "")
                 lead = rng.choice(cue[new])
                 place = text[:a] + lead
-                whole = place + said + ('"' if lead.endswith('"') else "") + text[b:]
-                take(whole, len(place), len(place) + len(said), 1)
+                take(place + said + ('"' if lead.endswith('"') else "" if found else " ") + text[b:], len(place), len(place) + len(said), 1)
         words = text.split()
         if len(words) > 8:
             i = rng.randrange(len(words) - 4)
-            n = rng.randrange(10**6)
-            for fake in (f"{words[i]} at {words[i + 1]} dot", f"{words[i]} at {words[i + 1]} {words[i + 2]}", f"{words[i]} (at) {words[i + 1]}.", f"{n % 2000}-{n % 12 + 1:03d}-{n % 28 + 1:02d}", f"{n % 24}:{n % 60:02d}:{n % 59:02d}", f"{words[i]}-{words[i + 1]}-{words[i + 2]}-2024", f"/usr/{words[i]}/{words[i + 1]}/{words[i + 2]}/v2", f"page {n % 99} {n % 999:03d} {n % 99:02d}", "_".join(words[i : i + 3]).lower() + "_1"):
+            for fake in lookalikes(rng, words, i):
                 place = " ".join(words[:i]) + " " + rng.choice(("", "on ", "version ", "order ", "at "))
                 take(place + fake + " " + " ".join(words[i + 3 : i + 9]), len(place), len(place) + len(fake), 0)
         for c in candidates(text):
-            if c[0] != "secret" and not any(s[1] < c[2] and c[1] < s[2] for s in base_spans(text)):
+            if c[0] != "secret" and not any(s[1] < c[2] and c[1] < s[2] for s in found):
                 x.append(features(text, c))
                 y.append(0.0)
-    return np.array(x, dtype=np.float64).reshape(-1, 22), np.array(y)
+    return np.array(x, dtype=np.float64).reshape(-1, len(features("0", (ADDED[0], 0, 1)))), np.array(y)
 
 
 def built_in(seed: int = 5, count: int = 400) -> list[str]:
@@ -254,27 +329,36 @@ def built_in(seed: int = 5, count: int = 400) -> list[str]:
 
 
 class Judge:
-    """Trees and one threshold per added kind."""
+    """Trees and a threshold for each added kind."""
 
     def __init__(self, texts: list[str]):
         x, y = training_set(texts)
         if any(min(np.sum(y[x[:, 0] == i]), np.sum(1 - y[x[:, 0] == i])) < KIND_LEAST for i in range(len(ADDED))):
             more, said = training_set(built_in())
             x, y = np.concatenate([x, more]), np.concatenate([y, said])
-        self.cut = {k: 1.1 for k in ADDED}
-        self.model = None
-        if len(y) < 40 or y.min() == y.max():
-            return
-        back = np.arange(len(y)) % 3 == 0
-        self.model = Boosted().fit(x[~back], y[~back])
-        p, kind = self.model.score(x[back]), x[back][:, 0]
+        self.cut: dict[str, float] = {}
+        self.model: dict[str, Boosted] = {}
         for i, name in enumerate(ADDED):
-            q, t = p[kind == i], y[back][kind == i]
+            mine, true = x[x[:, 0] == i], y[x[:, 0] == i]
+            back = np.arange(len(true)) % 3 == 0
+            if len(true) < 40 or true[~back].min() == true[~back].max():
+                continue
+            model = Boosted().fit(mine[~back], true[~back])
+            q, t = model.score(mine[back]), true[back]
             order = np.argsort(-q, kind="stable")
             right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(right >= PRECISION)
             if len(good):
-                self.cut[name] = max(0.5, float(q[order[good[-1]]]))
+                self.model[name], self.cut[name] = model, max(0.5, float(q[order[good[-1]]]))
+
+    def score(self, text: str, found: list[Span]) -> list[float]:
+        """How likely each candidate is personal data; 0 for kinds that the sample taught nothing about."""
+        out = [0.0] * len(found)
+        for kind in {c[0] for c in found} & set(self.model):
+            at = [i for i, c in enumerate(found) if c[0] == kind]
+            for i, q in zip(at, self.model[kind].score(np.array([features(text, found[i]) for i in at]))):
+                out[i] = float(q)
+        return out
 
     def added(self, text: str, base: list[Span], digits: bool) -> list[Span]:
         found = candidates(text, digits) if self.model else []
@@ -286,8 +370,7 @@ class Judge:
             found = [c for c in found if not (i := bisect_right(starts, c[2] - 1)) or reach[i - 1] <= c[1]]
         if not found:
             return []
-        p = self.model.score(np.array([features(text, c) for c in found]))
-        ranked = sorted((-q, c[1], c) for q, c in zip(p, found) if q >= self.cut[c[0]])
+        ranked = sorted((-q, c[1], c) for q, c in zip(self.score(text, found), found) if q >= self.cut.get(c[0], 1.1))
         out: list[Span] = []
         taken: list[tuple[int, int]] = []
         for _, _, c in ranked:
@@ -313,7 +396,7 @@ def sample_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts of the base kinds, base_sha256, spans, and the redacted text if asked for.
+    """One row per row of ``docs``: doc_id, counts of the base kinds, base_sha256, spans, their number, and the redacted text if asked for.
 
     Spans are kind:start:end in code points, end exclusive, over whole texts. Counts and
     base_sha256 cover the base spans, ``spans`` also those that the trees add under kinds of
@@ -323,7 +406,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ship(spark)
     judge = spark.sparkContext.broadcast(pickle.dumps(Judge(sample_texts(docs, text_col, id_col))))
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"] + ["redacted"] * redact
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"] + ["redacted"] * redact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: Judge = pickle.loads(judge.value)
@@ -333,13 +416,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 text = str(view, "utf-8")
                 base = base_spans(text)
                 spans = base + trees.added(text, base, bool(_DIGIT.search(text)))
-                row = [sum(s[0] == k for s in base) for k in BASE] + [hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans)]
+                row = [sum(s[0] == k for s in base) for k in BASE] + [hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans), len(spans)]
                 for cell, value in zip(cells, row + ([redacted(text, spans)] if redact else [])):
                     cell.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cells[:4]), *(pa.array(c, pa.string()) for c in cells[4:])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cells[:4]), *(pa.array(c, pa.string()) for c in cells[4:6]), pa.array(cells[6], pa.int64()), *(pa.array(c, pa.string()) for c in cells[7:])], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redact)
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", redacted string" * redact)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
