@@ -4,9 +4,13 @@ Benchmark items and item-sized windows of documents are strings of words. A wind
 the edit bound of an item only if it holds enough words of the benchmark's vocabulary, which a
 running sum decides for every window. What remains is embedded by CGK walks: a walk reads the
 word under it, writes it out, and moves on by a random bit of that word and step, so that a few
-edits become a few differing places of the output. Hash tables over sampled places of several
-walks find item candidates; their number follows from the target recall, measured on edited items
-when the index is built. Candidates are verified by exact edit distance on words.
+edits become a few differing places of the output. Every other walk begins at the end of the string, so
+that edits which gather on one side leave walks whole. Hash tables over sampled places of the
+walks find item candidates; their number follows from the target recall, measured for each length when the
+index is built, on items edited evenly, at the head, in the middle and at the tail. A length that MOST_TABLES
+don't bring to the recall is searched without tables: every window with enough known words is verified. Items
+so short that no edit is allowed are found by a hash of all their words. Candidates are verified by exact
+edit distance on words.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 from ._work import gathered, ship, text_views
 from .words import char_offset, number, plain_words, word_spans
 
-#: Places sampled for a table, tables taken from a walk, and tables at most.
+#: Places sampled for a table, tables taken from a walk, and tables of a length at most.
 PLACES = 3
 PER_WALK = 2
-TABLES = 64
+MOST_TABLES = 96
 #: Steps of a walk that places are taken from, as a multiple of the window.
-REACH = 0.7
+REACH = 0.9
+#: Items of a length that the recall is measured on, at most, and edited copies of each kind.
+TRIED, COPIES = 60, 2
 #: Bytes of item texts that one pass over the documents broadcasts, at most.
 ITEM_BYTES = 16_000_000
 
@@ -47,13 +53,14 @@ class Index:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int32)))
         self.longest = max((len(w) for _, w in self.items), default=0)
         rng = np.random.default_rng(seed)
-        walks = -(-TABLES // PER_WALK)
+        walks = -(-MOST_TABLES // PER_WALK)
         self.mixers = rng.integers(0, 2**63, (walks, 2 * self.longest + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.places = rng.random((walks, PER_WALK, PLACES))
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for i, (_, w) in enumerate(self.items):
             self.by_length[len(w)].append(i)
-        self.tables = self._enough(recall, rng)
+        #: Tables of each length; 0 where windows are verified without tables.
+        self.tables = {length: self._enough(length, recall, rng) for length in self.by_length}
         self.keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
         for length, members in self.by_length.items():
             joined = np.concatenate([self.items[i][1] for i in members])
@@ -65,34 +72,52 @@ class Index:
     def allowed(self, length: int) -> int:
         return int(self.edits * length + 1e-9)
 
-    def _enough(self, recall: float, rng: np.random.Generator) -> int:
-        """Tables that find items with the full number of edits at the rate ``recall``, by trial."""
-        trials = []
-        for i in rng.permutation(len(self.items))[:100]:
-            w = self.items[i][1]
-            for _ in range(3):
-                v = list(w)
-                for _ in range(self.allowed(len(w))):
-                    at, kind = int(rng.integers(len(v))), rng.integers(3)
-                    new = int(rng.integers(len(self.vocabulary))) + 1
-                    v[at : at + (kind != 1)] = [new] if kind < 2 else []
-                v = (v + [0] * len(w))[: len(w)]
-                both = np.concatenate([w, np.array(v, dtype=np.int32)])
-                trials.append([key[0] == key[1] for _, _, key in self.hashed(both, np.array([0, len(w)]), len(w), TABLES)])
-        found = np.maximum.accumulate(np.array(trials), axis=1).mean(0) if trials else np.ones(1)
-        enough = np.flatnonzero(found >= recall)
-        return int(enough[0]) + 1 if len(enough) else TABLES
+    def _edited(self, words: np.ndarray, kind: int, rng: np.random.Generator) -> list[int]:
+        """The item with the full number of edits: anywhere, in its first or middle or last two fifths."""
+        v, n = list(words), len(words)
+        low, high = ((0.0, 1.0), (0.0, 0.4), (0.3, 0.7), (0.6, 1.0))[kind]
+        for _ in range(self.allowed(n)):
+            at, how = min(len(v) - 1, int((low + (high - low) * rng.random()) * len(v))), rng.integers(3)
+            new = int(rng.integers(len(self.vocabulary))) + 1
+            v[at : at + (how != 1)] = [new] if how < 2 else []
+            if not v:
+                v = [new]
+        return (v + [0] * n)[:n]
+
+    def _enough(self, length: int, recall: float, rng: np.random.Generator) -> int:
+        """Tables that find items with the full number of edits at the rate ``recall``, whatever the kind of edits, by trial; 0 if none do."""
+        if not self.allowed(length):
+            return 1
+        tried = [self.items[i][1] for i in rng.permutation(self.by_length[length])[:TRIED]]
+        copies = -(-TRIED * COPIES // len(tried))
+        pairs = [(w, self._edited(w, kind, rng), kind) for w in tried for kind in range(4) for _ in range(copies)]
+        joined = np.array([x for w, v, _ in pairs for x in (*w, *v)], dtype=np.int32)
+        starts, kinds = np.arange(2 * len(pairs)) * length, np.array([k for *_, k in pairs])
+        found = np.zeros(len(pairs), dtype=bool)
+        for n, (_, _, key) in enumerate(self.hashed(joined, starts, length, MOST_TABLES), 1):
+            found |= key[::2] == key[1::2]
+            if min(found[kinds == k].mean() for k in range(4)) >= recall:
+                return n
+        return 0
 
     def hashed(self, ids: np.ndarray, starts: np.ndarray, length: int, tables: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
         """(walk, table, keys) of the windows ids[start : start + length]."""
-        tables = self.tables if tables is None else tables
+        tables = self.tables[length] if tables is None else tables
+        if not self.allowed(length):
+            key = np.zeros(len(starts), dtype=np.uint64)
+            for t in range(length):
+                key = (key ^ ids[starts + t].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            yield 0, 0, key
+            return
         steps = max(PLACES, int(REACH * length))
         for walk in range(-(-tables // PER_WALK)):
             chosen = (self.places[walk] * steps).astype(int)
             wanted = set(chosen.ravel().tolist())
+            first, way = (starts, 1) if walk % 2 == 0 else (starts + length - 1, -1)
             at, seen = np.zeros(len(starts), dtype=np.int64), {}
             for t in range(max(wanted) + 1):
-                word = ids[starts + np.minimum(at, length - 1)]
+                word = ids[first + way * np.minimum(at, length - 1)]
                 if t in wanted:
                     seen[t] = np.where(at < length, word, -1)
                 at += ((word.astype(np.uint64) + np.uint64(1)) * self.mixers[walk, t] >> np.uint64(63)).astype(np.int64)
@@ -111,6 +136,10 @@ class Index:
             if len(ids) < length:
                 continue
             starts = np.flatnonzero(known[length:] - known[:-length] >= length - self.allowed(length))
+            if not self.tables[length]:
+                for item in self.by_length[length]:
+                    found[item].update(starts.tolist())
+                continue
             for at in range(0, len(starts), 200_000):
                 part = starts[at : at + 200_000]
                 for walk, table, key in self.hashed(ids, part, length):
@@ -147,7 +176,7 @@ def edit_match(pattern: list[int], text: list[int], most: int) -> tuple[int, int
 
 
 def matches(index: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, edits, first word, end word) of the best verified place for each document and item."""
+    """(document, item, edits, first word, end word): the best verified place of each stretch of a document where windows of an item lie."""
     gap = np.zeros(index.allowed(index.longest) + 1, dtype=np.int32)
     numbered = [number(plain_words(d), index.vocabulary) for d in docs]
     begins, parts, at = [], [], 0
@@ -170,25 +199,23 @@ def matches(index: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, in
                 regions[doc].append([a, b])
         pattern = words.tolist()
         for doc, spans in regions.items():
-            best = None
             for a, b in spans:
                 text = numbered[doc][a:b].tolist()
-                if (hit := edit_match(pattern, text, slack)) and (best is None or hit[0] < best[0]):
+                if hit := edit_match(pattern, text, slack):
                     # The start: the same search backwards from the end.
                     back = edit_match(pattern[::-1], text[: hit[1]][::-1][: length + slack], hit[0])
-                    best = hit[0], a + hit[1] - (back[1] if back else length), a + hit[1]
-            if best:
-                yield doc, item, best[0], max(0, best[1]), best[2]
+                    yield doc, item, hit[0], max(0, a + hit[1] - (back[1] if back else length)), a + hit[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, recall: float = 0.95, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, edits, item_words, start, end): the best place of each item in each document.
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, recall: float = 0.95, least_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, edits, item_words, start, end): the places of each item in each document.
 
-    A place counts where word edits (insert, delete, replace) do not exceed ``edits`` times the
+    Of places that overlap or touch the best is given. A place counts where word edits (insert, delete, replace) do not exceed ``edits`` times the
     item's words; start and end are code points of the whole text, end exclusive. Case and ASCII
     punctuation do not count. Items come in blocks of ITEM_BYTES; each block is one pass over
-    the documents, so that what is broadcast stays bounded. Cases: items or texts that are null,
-    empty or, for items, shorter than ``least_words`` match nothing; repeated documents and items
+    the documents, so that what is broadcast stays bounded. Cases: items or texts that are null
+    or empty match nothing, nor do items shorter than ``least_words``, which say too little (items of fewer
+    than five words allow no edit); a script without spaces has one word between two breaks; repeated documents and items
     match each for itself; null ids are kept; empty tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -196,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, reca
     return reduce(DataFrame.unionByName, found)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, recall: float = 0.95, least_words: int = 5, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, recall: float = 0.95, least_words: int = 3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they were, without a shuffle. Cases as for ``contaminated``."""
     for index in _indexes(docs, benchmark, edits, recall, least_words):
         docs = docs.mapInArrow(_drop(index, text_col), docs.schema)
