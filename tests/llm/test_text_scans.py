@@ -327,3 +327,73 @@ def test_ties_do_not_depend_on_batches():
     whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in substrings._WINDOW.split(", ")])
     run_ = lambda size: sorted({tuple(-1 if v is None else v for v in r.values()) for b in substrings._meet((whole.slice(k, size) for k in range(0, n, size)), np.array([7, 9]), 46) for r in b.to_pylist()})
     assert run_(n) == run_(97) == run_(11)
+
+
+@pytest.mark.parametrize("part", [(0.0, 0.4), (0.3, 0.7), (0.6, 1.0), (0.0, 1.0)])
+def test_benchmark_items_with_edits_in_one_part(part):
+    rng = random.Random(17)
+    vocabulary = [f"v{k}".encode() for k in range(500)]
+    items = [(i, b" ".join(rng.choice(vocabulary) for _ in range(rng.choice((10, 20, 50))))) for i in range(60)]
+    index = decontamination.Index(items, 0.2, 0.95, 3)
+    docs, truth = [], []
+    for k in range(240):
+        item, text = rng.choice(items)
+        words = text.split()
+        n, bound = len(words), int(0.2 * len(words))
+        for at in sorted(rng.sample(range(int(part[0] * n), max(int(part[1] * n), int(part[0] * n) + bound)), bound), reverse=True):
+            words[at] = b"unknown%d" % k
+        around = [rng.choice(vocabulary) for _ in range(60)]
+        docs.append(b" ".join(around[:30] + words + around[30:]))
+        truth.append((k, item))
+    got = {(d, index.items[i][0]) for d, i, *_ in decontamination.matches(index, docs)}
+    assert sum(t in got for t in truth) >= 0.92 * len(truth)
+
+
+def test_short_items_and_every_place():
+    items = [(1, b"blue whale song"), (2, b"one two three four"), (3, b"of the"), (4, b" ".join(b"w%d" % k for k in range(20)))]
+    index = decontamination.Index(items, 0.2, 0.95, 3)
+    docs = [b"the Blue whale, song of", b"blue whale a song", b"one two three four five one two three four", b"of the of the", items[3][1] + b" x y z " * 9 + items[3][1]]
+    got = sorted((d, index.items[i][0], e, a, b) for d, i, e, a, b in decontamination.matches(index, docs))
+    assert got == [(0, 1, 0, 1, 4), (2, 2, 0, 0, 4), (2, 2, 0, 5, 9), (4, 4, 0, 0, 20), (4, 4, 0, 47, 67)]
+
+
+def test_lengths_that_tables_do_not_reach_are_verified_directly(monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_TABLES", 1)
+    rng = random.Random(3)
+    items = [(i, b" ".join(b"v%d" % rng.randrange(300) for _ in range(30))) for i in range(20)]
+    index = decontamination.Index(items, 0.2, 0.95, 3)
+    assert index.tables == {30: 0}
+    words = items[5][1].split()
+    words[3:9] = [b"x"] * 6
+    assert {index.items[i][0] for _, i, *_ in decontamination.matches(index, [b"a b c " + b" ".join(words) + b" d"])} == {5}
+
+
+def test_added_spans_on_planted_data(spark):
+    """Recall and precision of what the method adds, on texts and data that the trees have not seen."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]]
+    judge = pii.Judge(texts)
+    rng = random.Random(99)
+    words = "we met again in the old harbour town after many years and talked about work weather food and the long road that had led us there".split()
+    lead = {"email_obscured": ("write to ", "mail: "), "phone_local": ("call ", "phone "), "ip6": ("server ", "host "), "secret": ('key = "', "token: "), "card_cut": ("card ", "paid with "), "national_id": ("ssn ", "her social security number "), "iban": ("account ", "iban ")}
+    for kind in pii.ADDED:
+        caught = 0
+        for _ in range(60):
+            said = pii.disguised(rng, kind, "ann.lee@post.example.net" if kind == "email_obscured" else "")
+            before = " ".join(rng.choices(words, k=12)) + " " + rng.choice(lead[kind])
+            text = before + said + (' "' if before.endswith('"') else " ") + " ".join(rng.choices(words, k=9))
+            spans = pii.base_spans(text)
+            spans += judge.added(text, spans, True)
+            caught += any(a <= len(before) + 1 and b >= len(before) + len(said) - 1 for _, a, b in spans)
+        assert caught >= 54, (kind, caught)
+    false = 0
+    for _ in range(200):
+        body = rng.choices(words, k=30)
+        body.insert(rng.randrange(30), rng.choice(pii.lookalikes(rng, body, 3)))
+        text = " ".join(body)
+        false += bool(judge.added(text, pii.base_spans(text), True))
+    assert false <= 10, false
+
+
+@pytest.mark.parametrize(("text", "kind"), [("at fe80::1 now", "ip6"), ("at ::1 now", "ip6"), ("her 123-45-6789 is", "national_id"), ("to DE89 3704 0044 0532 0130 00 please", "iban"), ("card 4111.1111.1111.1111 ok", "card_cut"), ("card 4111 **** **** 1111 ok", "card_cut")])
+def test_candidates_of_each_kind(text, kind):
+    assert kind in {k for k, *_ in pii.candidates(text)}
