@@ -59,3 +59,20 @@ def test_written_shards(spark, small, tmp_path):
 def test_main_path_is_native(spark, small):
     plan = sharding.shard_plan(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a", 1), (None, "a", 2), (5, "x", 3), (5, "y", 4), (5, "x", 5), (6, None, 6), (6, "", 7)] + [(9, "same", 100 + k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumn("shard", F.lit("clash")).withColumn("size", F.lit("clash")).repartition(5)
+    sharding.write_shards(docs, str(tmp_path / "s"), 4, files=6)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r["mark"], r["text"], r["doc_id"]) for r in back if r["doc_id"]) == sorted((m, t, d) for d, t, m in rows if d) and sorted(r["mark"] for r in back) == sorted(m for *_, m in rows)
+    assert sorted((r["shard"], r["slot"]) for r in back) == sorted((p % 4, p // 4) for p in range(len(rows))) and {r["size"] for r in back} == {"clash"}
+    plan = sharding.shard_plan(docs, 4).collect()
+    key = lambda d, t: (d or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert sorted((*key(r["doc_id"], r["text"]), r["shard"], r["slot"]) for r in back) == sorted((r["doc_id"] or -1, r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in plan)
+    for file in (tmp_path / "s").rglob("part-*"):
+        slots = [r["slot"] for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+    assert not list((tmp_path / "none").glob("shard=*"))

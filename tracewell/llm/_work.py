@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,15 +38,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and recorded in the session.
+    Where that is unset, a session on one machine (tests) takes the machine's temporary folder; on a
+    cluster, whose machines do not share theirs, it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tracewell-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}"
     return at
 
 
@@ -56,9 +58,13 @@ _made: list[str] = []
 def stash(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The table stays until ``discard`` or ``sweep``, since plans made on it are evaluated later.
+    The table stays until ``discard`` or ``sweep``, since plans made on it are evaluated later; what is left
+    goes when the driver's process ends.
     """
     spark = df.sparkSession
+    if not _made:
+        atexit.unregister(_last_sweep)
+        atexit.register(_last_sweep)
     path = f"{shared_dir(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
@@ -75,10 +81,25 @@ def discard(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all stashes of this driver; call it once results are written."""
-    for path in list(_made):
-        discard(spark, path)
+def sweep(spark: SparkSession, keep: str | None = None, since: int = 0) -> None:
+    """Delete the stashes of this driver, from number ``since`` on, but ``keep``; call it once no result that reads them is wanted."""
+    for path in _made[since:]:
+        if path != keep:
+            discard(spark, path)
+
+
+def stashes() -> int:
+    """How many stashes there are, as a mark for ``sweep``."""
+    return len(_made)
+
+
+def _last_sweep() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            sweep(spark)
+        except Exception:  # the process ends; a gateway that has gone takes the folder's owner with it
+            pass
 
 
 def wide(spark: SparkSession) -> int:

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._work import stash, wide
+
 ROUNDS = 6
 #: Steps of the cycle walk that are laid out as columns; the rare rest goes on in one expression.
 WALK = 3
@@ -62,32 +64,69 @@ def shard_plan(docs: DataFrame, shards: int = 24, seed: int = 20_24, buckets: in
     an empty table gives no rows; other columns are ignored.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows, _ = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")), "shard-values")  # texts are read once
+    first, total, largest = _numbered(rows, buckets)
+    values = ("doc_id", "size", "text_crc32")
+    spread = first.select(*values, "first", "n")
+    if largest > BLOCK:
+        # A row may stand for very many equal ones: unfold those in blocks and deal the blocks out in between.
+        block = F.expr(f"transform(sequence(0L, (n - 1) div {BLOCK}), b -> named_struct('first', first + b * {BLOCK}, 'n', least(n - b * {BLOCK}, {BLOCK}L)))")
+        blocks = spread.where(f"n > {BLOCK}").select(*values, F.explode(block).alias("b")).select(*values, "b.first", "b.n")
+        spread = spread.where(f"n <= {BLOCK}").unionByName(blocks.repartition("doc_id", "first"))
+    numbered = spread.select(*values, F.explode(F.expr("sequence(first, first + n - 1)")).alias("row"))
+    return _placed(numbered, total, shards, seed).select(*values, "shard", "slot")
+
+
+def _placed(numbered: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """Shard and slot of the global number ``row``."""
+    placed = permute(numbered, "row", total, seed, "place")
+    return placed.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"place div {shards}"))
+
+
+def _numbered(rows: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
+    """Distinct (doc_id, size, text_crc32) with their count ``n`` and first global number; rows in all; rows of the largest bucket."""
     bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket")
     sizes = rows.groupBy(bucket).agg(F.count("*").alias("n")).collect()  # at most ``buckets`` rows
     starts, total = [], 0
     for bucket_no, n in sorted((r["bucket"], r["n"]) for r in sizes):
         starts.append((bucket_no, total))
         total += n
-    offsets = docs.sparkSession.createDataFrame(starts, "bucket int, start long")
+    offsets = rows.sparkSession.createDataFrame(starts, "bucket int, start long")
     distinct = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).select(bucket, "*")
     order = Window.partitionBy("bucket").orderBy("doc_id", "size", "text_crc32")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     first = distinct.withColumn("first", before).join(F.broadcast(offsets), "bucket").withColumn("first", F.col("first") + F.col("start"))
-    values = ("doc_id", "size", "text_crc32")
-    spread = first.select(*values, "first", "n")
-    if max((r["n"] for r in sizes), default=0) > BLOCK:
-        # A row may stand for very many equal ones: unfold those in blocks and deal the blocks out in between.
-        block = F.expr(f"transform(sequence(0L, (n - 1) div {BLOCK}), b -> named_struct('first', first + b * {BLOCK}, 'n', least(n - b * {BLOCK}, {BLOCK}L)))")
-        blocks = spread.where(f"n > {BLOCK}").select(*values, F.explode(block).alias("b")).select(*values, "b.first", "b.n")
-        spread = spread.where(f"n <= {BLOCK}").unionByName(blocks.repartition("doc_id", "first"))
-    numbered = spread.select(*values, F.explode(F.expr("sequence(first, first + n - 1)")).alias("row"))
-    placed = permute(numbered, "row", total, seed, "place")
-    return placed.select(*values, F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {shards}").alias("slot"))
+    return first, total, max((r["n"] for r in sizes), default=0)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 20_24) -> None:
-    """Write ``docs`` (ids unique) as one folder per shard, rows in slot order."""
-    plan = shard_plan(docs, shards, seed).select("doc_id", "shard", "slot")
-    rows = docs.drop("shard", "slot").join(plan, "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 20_24, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the rows of ``docs`` as one folder per shard, in files that hold ranges of slots in order.
+
+    Places are those of ``shard_plan``. Rows are placed one by one, not by id: rows that are equal in
+    id and text take the places of their group in scan order, so each is written just once.
+    ``files`` is the number of files in all (as many as the session has shuffle partitions). Cases: a
+    null id is an id of its own; null texts stay null; repeated rows stay; an empty table writes no
+    folder; columns named shard or slot are replaced, the others stay.
+    """
+    spark = docs.sparkSession
+    text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    # Written once, so that partitions are what they were when the places are joined.
+    rows, _ = stash(docs.select(F.struct(*kept).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("at", F.monotonically_increasing_id()), "shard-rows")
+    values = ["doc_id", "size", "text_crc32"]
+    first, total, _ = _numbered(rows.select(*values), 4096)
+    # Equal rows are numbered within blocks of the scan, and the blocks after each other: no task holds a whole group.
+    block = F.shiftright("at", 33).alias("block")
+    parts = rows.groupBy(*values, block).agg(F.count("*").alias("m"))
+    ahead = F.sum("m").over(Window.partitionBy(*values).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
+    parts = parts.withColumn("ahead", ahead).drop("m")
+    mine = rows.withColumn("block", F.shiftright("at", 33)).withColumn("k", F.row_number().over(Window.partitionBy(*values, "block").orderBy("at")) - 1)
+
+    def same(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+        other = b.withColumnsRenamed({n: f"_{n}" for n in names})
+        return a.join(other, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]).drop(*(f"_{n}" for n in names))
+
+    numbered = same(same(mine, parts, [*values, "block"]), first.select(*values, "first"), values)
+    placed = _placed(numbered.withColumn("row", F.col("first") + F.col("ahead") + F.col("k")), total, shards, seed)
+    out = placed.repartitionByRange(files or wide(spark), "shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select("doc.*", "shard", "slot").write.partitionBy("shard").parquet(path)
