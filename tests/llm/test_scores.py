@@ -93,3 +93,83 @@ def test_mixed_rows_follow_their_copies(spark, small):
     got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert sum(abs(got.get(i, 0) - n) for i, n in want.items()) <= 1  # rounding of one and the same rate
     assert sum(got.values()) > len(want)
+
+
+def test_quality_query_against_brute_force(spark, small):
+    """Every score again: labelled rows chosen, counted, weighted and voted on in plain Python, with the axes given."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    known = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 4 != 2)
+    space = quality.fit([docs[i] for i in known], [labels[i] for i in known])
+
+    def vector(text):
+        pairs = np.zeros(quality.BINS)
+        for a, b in zip(text, text[1:]):
+            pairs[((a << 8 | b) * 0x9E3779B1 >> 12) % quality.BINS] += 1
+        tf = np.log1p(pairs) * space.idf
+        tf /= max(float(np.sqrt((tf**2).sum())), 1e-9)
+        z = np.r_[tf @ space.axes, (quality.shape(memoryview(text)) - space.centre) * space.scale]
+        return z / max(float(np.sqrt((z**2).sum())), 1e-9)
+
+    known_vectors = [(vector(docs[i]), labels[i]) for i in known]
+    for r in op9_quality(spark, small).collect():
+        z = vector(docs[r["doc_id"]])
+        near = sorted(((float(z @ v), y) for v, y in known_vectors), reverse=True)
+        near = [n for n in near if n[0] >= near[quality.NEIGHBOURS - 1][0] - 1e-6]
+        weight = [np.exp(quality.SHARP * (c - 1)) for c, _ in near]
+        assert r["score"] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight), abs=2e-3)
+
+
+def test_ties_vote_together():
+    space = quality.fit([b"good text of words"] * 40 + [b"0123 4567"] * 40, [1] * 30 + [0] * 10 + [0] * 40)
+    first = space.score(space.project(np.stack([quality.counts(memoryview(b"good text of words"))]), np.stack([quality.shape(memoryview(b"good text of words"))])))
+    assert first[0] == pytest.approx(0.75, abs=1e-3)
+
+
+def test_labelled_texts_are_whole_and_one_for_an_id(spark):
+    long = "word " * 30_000
+    docs = spark.createDataFrame([(1, long), (2, "b"), (2, "a"), (2, "a"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    c, s, y = quality.labelled(docs, labels, "true")
+    assert y == [1, 0] and c[0].sum() == len(long) - 1 and len(s) == 2
+    langs = docs.withColumn("lang", F.lit("en"))
+    assert mixing.fit_classifier(langs, labels, ["de", "en"]).weights.any()
+
+
+def brute_rates(tokens, posterior, goal):
+    """Nonnegative least squares by accelerated projected gradients in plain numpy, to convergence."""
+    a = (posterior * tokens[:, None]).T
+    r = np.ones(len(tokens))
+    step, y, t = 1 / np.linalg.norm(a @ a.T, 2), r.copy(), 1.0
+    for _ in range(20_000):
+        new = np.maximum(0.0, y - step * (a.T @ (a @ y - goal)))
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = new + (t - 1) / t2 * (new - r), new, t2
+    return r
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, {"en": 0.97, "de": 0.01, "fr": 0.01, "es": 0.01}, {"en": 0.1, "de": 0.1, "fr": 0.1, "es": 0.7}])
+def test_rates_against_brute_force(spark, small, targets):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = mixing.mixing_rates(docs, labels, targets).collect()
+    tokens, posterior, rate = (np.array([r[c] for r in rows], dtype=float) for c in ("tokens", "posterior", "rate"))
+    goal = np.array([targets[n] for n in sorted(targets)]) * tokens.sum()
+    miss = lambda r: np.linalg.norm((posterior * tokens[:, None]).T @ r - goal) / tokens.sum()
+    assert miss(rate) <= miss(brute_rates(tokens, posterior, goal)) + 1e-3 and rate.min() >= 0
+
+
+def test_special_strings_of_any_form(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["added_tokens"] = [*spec.get("added_tokens", []), {"id": 90_000, "content": "[END]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    path = str(tmp_path / "own.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    library = Tokenizer.from_file(path)
+    counter = token_counts._counter(path, {})
+    for text in ("a [END] b", "[END][END]", "x [end]"):
+        assert token_counts.count_tokens(text, *counter) == len(library.encode(text, add_special_tokens=False).ids)
+    spec["added_tokens"][-1]["lstrip"] = True
+    json.dump(spec, open(str(tmp_path / "odd.json"), "w", encoding="utf-8"))
+    with pytest.raises(ValueError):
+        token_counts._counter(str(tmp_path / "odd.json"), {})

@@ -12,6 +12,7 @@ targets) and every document clips its own rate at zero.
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +33,30 @@ FOLD = 1024
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 
 
+def folded(text: memoryview) -> np.ndarray:
+    """Counts of hashed byte pairs in FOLD bins."""
+    return counts(text).reshape(-1, FOLD).sum(0)
+
+
 class Classifier:
     """Softmax regression on hashed byte pairs."""
 
     def __init__(self, texts: list[bytes], domains: list[str], names: list[str]):
+        self._fit(np.stack([folded(memoryview(t)) for t in texts]) if texts else np.empty((0, FOLD)), domains, names)
+
+    @classmethod
+    def of_counts(cls, c: np.ndarray, domains: list[str], names: list[str]) -> Classifier:
+        """From folded counts of texts."""
+        made = cls.__new__(cls)
+        made._fit(c, domains, names)
+        return made
+
+    def _fit(self, c: np.ndarray, domains: list[str], names: list[str]) -> None:
         self.names = names
         self.weights = np.zeros((FOLD + 1, len(names)))
-        if not texts:
+        if not len(c):
             return
-        x = self._inputs([memoryview(t) for t in texts])
+        x = self._inputs(c)
         y = np.eye(len(names))[[names.index(d) for d in domains]]
         speed = np.zeros_like(self.weights)
         rate = 8.0
@@ -50,8 +66,8 @@ class Classifier:
             self.weights += speed
 
     @staticmethod
-    def _inputs(texts: list[memoryview]) -> np.ndarray:
-        c = np.log1p(np.stack([counts(t).reshape(-1, FOLD).sum(0) for t in texts]).astype(np.float64))
+    def _inputs(c: np.ndarray) -> np.ndarray:
+        c = np.log1p(c.astype(np.float64))
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         return np.hstack([c, np.ones((len(c), 1))])
 
@@ -61,16 +77,22 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
     def posteriors(self, texts: list[memoryview]) -> np.ndarray:
-        return self._softmax(self._inputs(texts) @ self.weights)
+        return self._softmax(self._inputs(np.stack([folded(t) for t in texts])) @ self.weights)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, names: list[str], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """The classifier from LABELLED labelled rows at most, ties by id."""
+    """The classifier from LABELLED labelled rows at most, ties by id; whole texts are counted on the workers, of several under an id the least."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(domain_col).cast("string").alias("domain"))
-    sample = known.join(F.broadcast(ids), "doc_id").where(F.col("domain").isin(names) & (F.length("text") <= 50_000)).dropDuplicates(["doc_id"]).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return Classifier([r["text"].encode() for r in sample], [r["domain"] for r in sample], names)
+    known = known.join(F.broadcast(ids), "doc_id").where(F.col("domain").isin(names) & F.col("text").isNotNull())
+    one = known.groupBy("doc_id").agg(F.min(F.struct("text", "domain")).alias("r")).select("doc_id", "r.domain", "r.text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([folded(t).astype(np.float32).tobytes() for t in text_views(batch, "text")], pa.binary())], names=["doc_id", "domain", "counts"])
+
+    sample = sorted(one.mapInArrow(run, "doc_id long, domain string, counts binary").collect(), key=lambda r: r["doc_id"])
+    return Classifier.of_counts(np.array([np.frombuffer(r["counts"], dtype=np.float32) for r in sample]).reshape(-1, FOLD), [r["domain"] for r in sample], names)
 
 
 def domain_posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,6 +146,10 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budge
         steps.append(inverse @ error)
         rate = _rate(steps)
         have = np.array(rows.agg(*(F.coalesce(F.sum(rate * F.col("tokens") * F.col("posterior")[i]), F.lit(0.0)).alias(f"c{i}") for i in range(size))).first())
+    else:
+        left = float(np.abs(have - goal).sum() / total) if total else 0.0
+        if left > 1e-3:  # a target out of reach: the rates are the closest that the steps came to
+            warnings.warn(f"domain totals miss the targets by {left:.2%} of the tokens after {STEPS} steps", stacklevel=3)
     return model, rows, steps
 
 
@@ -135,7 +161,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     rounds the rate by a hash of doc_id, so that the expected copies are the rate. Cases: null and
     empty texts have no tokens and rate by the classifier's intercepts; rows whose domain is
     null or not a target are only not learnt from; without labels all posteriors are equal;
-    domains that no document belongs to are matched as closely as least squares can; repeated rows
+    domains that no document belongs to are matched as closely as least squares can, with a warning where
+    STEPS steps leave a thousandth of the tokens off the targets; repeated rows
     rate alike; an empty table gives no rows; other columns are ignored.
     """
     _, rows, steps = _fitted(docs, labels, targets, budget, domain_col, id_col, text_col)

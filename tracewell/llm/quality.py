@@ -73,25 +73,30 @@ class Space:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, z: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors; those as near as the last one vote too."""
         if not len(self.labels):
             return np.full(len(z), self.prior)
         k = min(NEIGHBOURS, len(self.labels))
         out = np.empty(len(z))
         for at in range(0, len(z), 256):
             near = z[at : at + 256] @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
-            weight = np.exp(SHARP * (np.take_along_axis(near, top, 1).astype(np.float64) - 1))
-            out[at : at + 256] = (weight * self.labels[top]).sum(1) / weight.sum(1)
+            last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            row, who = np.nonzero(near >= last[:, None])
+            weight = np.exp(SHARP * (near[row, who].astype(np.float64) - 1))
+            out[at : at + 256] = np.bincount(row, weight * self.labels[who], len(near)) / np.bincount(row, weight, len(near))
         return np.clip(out, 0.0, 1.0)
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Space:
     """The space from labelled texts; none give a space that scores everything one half."""
-    if not texts:
-        return Space(np.ones(BINS, np.float32), np.zeros((BINS, 1), np.float32), np.zeros(10, np.float32), np.ones(10, np.float32))
     views = [memoryview(t) for t in texts]
-    c, s = np.stack([counts(t) for t in views]), np.stack([shape(t) for t in views])
+    return fit_counts(np.stack([counts(t) for t in views]) if views else np.empty((0, BINS), np.float32), np.stack([shape(t) for t in views]) if views else np.empty((0, 10), np.float32), labels)
+
+
+def fit_counts(c: np.ndarray, s: np.ndarray, labels: list[int]) -> Space:
+    """The space from the counts and shapes of labelled texts."""
+    if not len(c):
+        return Space(np.ones(BINS, np.float32), np.zeros((BINS, 1), np.float32), np.zeros(10, np.float32), np.ones(10, np.float32))
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))).astype(np.float32) + 0.1
     tf = np.log1p(c) * idf
     tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
@@ -108,15 +113,31 @@ def fit(texts: list[bytes], labels: list[int]) -> Space:
     return space
 
 
-def labelled(docs: DataFrame, labels: DataFrame, where: str, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> tuple[list[bytes], list[int]]:
-    """At most LABELLED labelled texts that meet ``where``, chosen by hash of the id, ties by id."""
+def labelled(docs: DataFrame, labels: DataFrame, where: str, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Counts, shapes and labels of at most LABELLED labelled texts that meet ``where``, chosen by hash of the id, ties by id.
+
+    Whole texts are counted on the workers, so that a text's length bounds nothing here: a row of
+    the result has BINS numbers, sent as those that are not zero. Of several texts under an id the
+    least counts, of several labels the greatest.
+    """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(where)
     chosen = known.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    ids = F.broadcast(chosen)  # LABELLED rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id").where(F.length("text") <= 50_000)
-    found = rows.collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"].encode() for r in found], [r["_label"] for r in found]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # LABELLED rows at most
+    one = rows.where("text is not null").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            views = list(text_views(batch, "text"))
+            full = [counts(t) for t in views]
+            at = [np.flatnonzero(c) for c in full]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].tobytes() for c, a in zip(full, at)], pa.binary()), pa.array([shape(t).tobytes() for t in views], pa.binary())], names=["doc_id", "_label", "bins", "counts", "shape"])
+
+    found = sorted(one.select("doc_id", "_label", "text").mapInArrow(run, "doc_id long, _label int, bins binary, counts binary, shape binary").collect(), key=lambda r: r["doc_id"])
+    c = np.zeros((len(found), BINS), dtype=np.float32)
+    for i, r in enumerate(found):
+        c[i, np.frombuffer(r["bins"], dtype=np.uint16)] = np.frombuffer(r["counts"], dtype=np.float32)
+    s = np.array([np.frombuffer(r["shape"], dtype=np.float32) for r in found], dtype=np.float32).reshape(-1, 10)
+    return c, s, [r["_label"] for r in found]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -129,13 +150,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col:
 
     Only the text is an input of a score; labels are learnt from rows that are not held out.
     Cases: null and empty texts are scored like any other (all-zero counts); a null id counts as
-    empty text for ``held_out``; repeated rows stay and score alike; without labels every score
-    is 0.5; an empty table gives no rows; other columns are ignored.
+    empty text for ``held_out``; repeated rows stay and score alike; labelled vectors as near as the last of
+    the NEIGHBOURS vote as well; without labels every score is 0.5; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts, marks = labelled(docs, labels, "crc32(cast(doc_id as string)) % 4 <> 2", id_col, text_col)
-    space = spark.sparkContext.broadcast(pickle.dumps(fit(texts, marks)))
+    space = spark.sparkContext.broadcast(pickle.dumps(fit_counts(*labelled(docs, labels, "crc32(cast(doc_id as string)) % 4 <> 2", id_col, text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Space = pickle.loads(space.value)
@@ -157,8 +177,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str
     """
     spark = docs.sparkSession
     ship(spark)
-    texts, marks = labelled(docs, labels, "crc32(cast(doc_id as string)) % 4 <> 2", id_col, text_col)
-    space = spark.sparkContext.broadcast(pickle.dumps(fit(texts, marks)))
+    space = spark.sparkContext.broadcast(pickle.dumps(fit_counts(*labelled(docs, labels, "crc32(cast(doc_id as string)) % 4 <> 2", id_col, text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Space = pickle.loads(space.value)

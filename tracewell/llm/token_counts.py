@@ -58,9 +58,10 @@ def _counter(path: str, known: dict[str, int]) -> tuple[Lengths, object, object]
     """The worker's cache for this tokenizer, with its pre-token and special-token patterns."""
     if path not in _workers:
         spec = json.load(open(path, encoding="utf-8"))
-        plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
-        if not plain:
-            raise ValueError("only byte-level BPE files without normalizer or prefix space are counted by pre-token")
+        pre = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        if not plain or any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only byte-level BPE files are counted by pre-token, without normalizer or prefix space, and with added tokens that match anywhere as they are")
         special = [t["content"] for t in spec.get("added_tokens", [])]
         cut = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         _workers[path] = Lengths(path, known), regex.compile(BYTE_LEVEL), cut
@@ -69,7 +70,7 @@ def _counter(path: str, known: dict[str, int]) -> tuple[Lengths, object, object]
 
 def count_tokens(text: str, lengths: Lengths, pieces: object, special: object) -> int:
     """Tokens of one whole text; each special string in it is one token, as the library has it."""
-    if special is None or "<" not in text or not special.search(text):
+    if special is None or not special.search(text):
         return sum(map(lengths.__getitem__, pieces.findall(text)))
     total, at = 0, 0
     for m in special.finditer(text):
