@@ -44,3 +44,34 @@ def test_version(capsys):
     assert cli.main(["version"]) == 0 and "tracewell" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["nope"])
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_standard_input(spark, tmp_path, capsys, monkeypatch, once):
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    monkeypatch.setattr(cli.sys, "stdin", type("Stdin", (), {"buffer": io.BytesIO(b'{"ts":1}\nbad\n{"ts":2}')}))
+    assert cli.main(["ingest", "-", "-s", "generic-flow", "-o", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "cp"), "--interval", "0.2", *(["--once"] if once else [])]) == 0
+    assert "3 lines, 2 records, 1 skipped" in capsys.readouterr().out
+    assert sorted(r["timestamp"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [10**9, 2 * 10**9]
+
+
+def test_pieces_hold_whole_lines(spark, tmp_path, monkeypatch):
+    from tracewell.sources import spool
+
+    monkeypatch.setattr(spool, "PIECE", 64)
+    text = b"".join(b"line %d of some length\n" % k for k in range(5000)) + b"last"
+    made = spool.Spool(spark, io.BytesIO(text), str(tmp_path / "s"))
+    made.run()
+    files = sorted(p for p in (tmp_path / "s").iterdir() if p.name.endswith(".txt"))
+    assert made.error is None and len(files) > 1 and b"".join(p.read_bytes() for p in files) == text
+    assert all(p.read_bytes().endswith(b"\n") for p in files[:-1])
+
+
+def test_pack_options(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    (tmp_path / "x").write_text('{"ts":1,"bytes":18446744073709551615,"country":"us"}\n')
+    assert cli.main(["pack", str(tmp_path / "x"), "-s", "generic-flow", "-o", str(tmp_path / "t"), "--wide", "--index", "--segment-rows", "10", "--compression", "lz4"]) == 0
+    assert cli.main(["query", "SELECT bytes FROM t WHERE bytes = 18446744073709551615", str(tmp_path / "t")]) == 0
+    assert "18446744073709551615" in capsys.readouterr().out
+    assert cli.main(["query", "SELECT top(country) FROM t", str(tmp_path / "t")]) == 0 and "US\t1" in capsys.readouterr().out
+    assert cli.main(["info", str(tmp_path / "nothing")]) == 1 and "no table" in capsys.readouterr().err

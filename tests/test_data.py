@@ -13,7 +13,7 @@ from tracewell.sources import adapters, datagen
 from tracewell.sources.follow import _added, follow
 from tracewell.sources.lines import read_lines
 from tracewell.streaming.ingest import Stats, ingest, pack, pack_numbered, stats
-from tracewell.types import HONEYPOT, SCHEMAS, TracewellError
+from tracewell.types import HONEYPOT, SCHEMAS, Column, Schema, TracewellError
 
 
 def decoded(spark, source, *lines):
@@ -285,3 +285,26 @@ def test_numbers_in_statements():
 
     assert [bind("double", x) for x in ("1.5", "-2e3", "nan", "inf", "1_0", "", ".")] == [1.5, -2000.0, None, None, None, None, None]
     assert bind("timestamp", "2024-06-01\n") is None and bind("uint", "5\n") is None
+
+
+@pytest.mark.parametrize("compression", ["zstd", "lz4", "uncompressed"])
+def test_every_compression_reads_back(spark, tmp_path, compression):
+    rows = adapters.records(datagen.generate(spark, "generic-flow", 200), "generic-flow")
+    store.write_table(rows, str(tmp_path / "t"), SCHEMAS["generic-flow"], store.WriteOptions(compression))
+    df, _ = store.read_table(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_damaged_page_is_noticed(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("timestamp"), *(F.xxhash64("id", F.lit(k)).alias(f"c{k}") for k in range(2)))
+    schema = Schema("t", (Column("timestamp", "timestamp"), Column("c0", "uint"), Column("c1", "uint")))
+    store.write_table(rows.coalesce(1), str(tmp_path / "t"), schema, store.WriteOptions("uncompressed"))
+    part = next(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    part.write_bytes(bytes(data))
+    for crc in (tmp_path / "t").glob(".part-*.crc"):
+        crc.unlink()
+    df, _ = store.read_table(spark, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)checksum|corrupt|crc"):
+        df.agg(F.sum(F.col("c0").cast("double")), F.sum(F.col("c1").cast("double"))).collect()

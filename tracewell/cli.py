@@ -19,8 +19,9 @@ from .plans.compiler import format_result, search
 from .sources import adapters, datagen
 from .sources.follow import follow
 from .sources.lines import stream_lines
+from .sources.spool import Spool
 from .streaming.ingest import ingest, pack, stats
-from .types import Schema, TracewellError
+from .types import Schema, StorageError, TracewellError
 
 VERSION = "0.1.0"
 TABLE_FORMAT = "parquet-v2"
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("query", help="run a statement")
     p.add_argument("sql")
     p.add_argument("table")
-    p = sub.add_parser("ingest", help="stream a folder, or a growing file, into a table")
+    p = sub.add_parser("ingest", help="stream a folder, a growing file, or standard input (-) into a table")
     p.add_argument("input")
     p.add_argument("-s", "--source", required=True, choices=adapters.names())
     p.add_argument("-o", "--out", required=True)
@@ -105,17 +106,29 @@ def _run(a: argparse.Namespace) -> int:
     elif a.command == "gen":
         datagen.generate(spark, a.source, a.rows, a.seed).write.text(a.out)
     elif a.command == "ingest":
-        lines = follow(spark, a.input) if a.follow else stream_lines(spark, a.input)
+        spool = Spool(spark, sys.stdin.buffer, f"{a.checkpoint}-spool") if a.input == "-" else None
+        lines = stream_lines(spark, spool.folder) if spool else follow(spark, a.input) if a.follow else stream_lines(spark, a.input)
+        if spool:
+            spool.start()
+            if a.once:
+                spool.join()
         running = ingest(lines, a.source, a.out, a.checkpoint, None if a.once else f"{a.interval} seconds", wide=a.wide)
         # SIGTERM ends it like Ctrl-C: what has come in is committed first.
         before = signal.signal(signal.SIGTERM, signal.default_int_handler)
         try:
+            while spool and not a.once and running.isActive and spool.is_alive():
+                spool.join(0.5)
+            if spool and not a.once:  # the input has ended
+                running.processAllAvailable()
+                running.stop()
             running.awaitTermination()
         except KeyboardInterrupt:
             running.processAllAvailable()
             running.stop()
         finally:
             signal.signal(signal.SIGTERM, before)
+        if spool and spool.error:
+            raise StorageError(f"standard input could not be spooled: {spool.error}")
         done = stats(running)
         print(f"{done.lines} lines, {done.records} records, {done.skipped} skipped")
     elif a.command == "bench":
