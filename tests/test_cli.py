@@ -75,3 +75,41 @@ def test_pack_options(spark, tmp_path, capsys, monkeypatch):
     assert "18446744073709551615" in capsys.readouterr().out
     assert cli.main(["query", "SELECT top(country) FROM t", str(tmp_path / "t")]) == 0 and "US\t1" in capsys.readouterr().out
     assert cli.main(["info", str(tmp_path / "nothing")]) == 1 and "no table" in capsys.readouterr().err
+
+
+def test_sigterm_commits_what_has_come(spark, tmp_path, capsys, monkeypatch):
+    import os
+    import signal
+    import threading
+    import time
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"ts":1}\n{"ts":2}\n')
+
+    def end():
+        until = time.time() + 60
+        while time.time() < until and not list(tmp_path.glob("out/_spark_metadata/0")):
+            time.sleep(0.2)
+        (tmp_path / "in" / "b.txt").write_text('{"ts":3}\n')
+        os.kill(os.getpid(), signal.SIGTERM)
+
+    threading.Thread(target=end, daemon=True).start()
+    assert cli.main(["ingest", str(tmp_path / "in"), "-s", "generic-flow", "-o", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "cp"), "--interval", "0.2"]) == 0
+    assert "3 lines, 3 records, 0 skipped" in capsys.readouterr().out
+
+
+def test_recover_passes_over_cut_files(spark, tmp_path, capsys, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracewell.sources import adapters, datagen
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    rows = adapters.records(datagen.generate(spark, "honeypot", 400), "honeypot").withColumn("seq", F.monotonically_increasing_id())
+    store.write_table(rows.repartition(4), str(tmp_path / "t"), store.read_table.__globals__["Schema"].from_struct(rows.drop("seq").schema))
+    parts = sorted((tmp_path / "t").glob("part-*"))
+    parts[-1].write_bytes(parts[-1].read_bytes()[:-200])
+    for crc in (tmp_path / "t").glob(".part-*.crc"):
+        crc.unlink()
+    assert cli.main(["query", "SELECT count(*) FROM t", str(tmp_path / "t"), "--recover"]) == 0
+    assert capsys.readouterr().out.splitlines()[1] == "300"

@@ -60,6 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--wide", action="store_true", help="keep unsigned numbers from 2^63 on")
     p = sub.add_parser("info", help="what a table holds")
     p.add_argument("table")
+    p.add_argument("--recover", action="store_true", help="pass over files that are damaged or cut off")
     p = sub.add_parser("search", help="rows whose field has a value; ip and port stand for all such columns")
     p.add_argument("field")
     p.add_argument("value")
@@ -68,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("query", help="run a statement")
     p.add_argument("sql")
     p.add_argument("table")
+    p.add_argument("--recover", action="store_true", help="pass over files that are damaged or cut off")
     p = sub.add_parser("ingest", help="stream a folder, a growing file, or standard input (-) into a table")
     p.add_argument("input")
     p.add_argument("-s", "--source", required=True, choices=adapters.names())
@@ -116,9 +118,9 @@ def _run(a: argparse.Namespace) -> int:
         # SIGTERM ends it like Ctrl-C: what has come in is committed first.
         before = signal.signal(signal.SIGTERM, signal.default_int_handler)
         try:
-            while spool and not a.once and running.isActive and spool.is_alive():
-                spool.join(0.5)
-            if spool and not a.once:  # the input has ended
+            while running.isActive and (a.once or not spool or spool.is_alive()):
+                time.sleep(0.2)  # here, and in no call of the gateway, a signal lands
+            if running.isActive:  # standard input has ended
                 running.processAllAvailable()
                 running.stop()
             running.awaitTermination()
@@ -140,7 +142,7 @@ def _run(a: argparse.Namespace) -> int:
             took, size, written = time.time() - began, _bytes(spark, text), _bytes(spark, table)
             print(f"{source}: {done.records} records, {human_bytes(size)}, {size / written:.1f}x, {size / took / 1e6:.0f} MB/s")
     else:
-        df, schema = store.read_table(spark, a.table)
+        df, schema = store.read_table(spark, a.table, recover=getattr(a, "recover", False))
         if a.command == "info":
             facts = catalog.info(df, schema)
             from pyspark.sql import functions as F
@@ -152,7 +154,7 @@ def _run(a: argparse.Namespace) -> int:
         elif a.command == "search":
             show(search(df, schema, a.field, a.value, a.limit), schema)
         else:
-            show(store.query_table(spark, a.table, a.sql), schema)
+            show(store.query_table(spark, a.table, a.sql, a.recover), schema)
     return 0
 
 

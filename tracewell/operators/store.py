@@ -80,10 +80,14 @@ def write_table(df: DataFrame, path: str, schema: Schema, options: WriteOptions
         build_index(df.sparkSession, path, options.segment_rows or SEGMENT_ROWS)
 
 
-def read_table(spark: SparkSession, *paths: str) -> tuple[DataFrame, Schema]:
-    """A written table and its schema, from the metadata that Parquet keeps with each field; pages are held against their checksums."""
+def read_table(spark: SparkSession, *paths: str, recover: bool = False) -> tuple[DataFrame, Schema]:
+    """A written table and its schema, from the metadata that Parquet keeps with each field; pages are held against their checksums.
+
+    ``recover`` passes over files that were cut off or damaged and reads all others, as after a crash of
+    a writer other than this one, which commits its files whole.
+    """
     try:
-        df = spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
+        df = spark.read.option("parquet.page.verify-checksum.enabled", "true").option("ignoreCorruptFiles", str(recover).lower()).parquet(*paths)
     except AnalysisException as e:
         raise StorageError(f"no table at {', '.join(paths)}: {e.getCondition()}") from e
     whole = Schema.from_struct(df.schema)
@@ -111,7 +115,7 @@ def read_index(spark: SparkSession, path: str, kind: str, column: str) -> DataFr
         return None
 
 
-def query_table(spark: SparkSession, path: str, text: str) -> DataFrame:
+def query_table(spark: SparkSession, path: str, text: str, recover: bool = False) -> DataFrame:
     """The typed result of a statement on a stored table.
 
     Without a condition, count(*) comes from the footers alone and top from the stored histogram,
@@ -119,8 +123,10 @@ def query_table(spark: SparkSession, path: str, text: str) -> DataFrame:
     """
     from .indexes import histogram_top
 
-    df, schema = read_table(spark, path)
+    df, schema = read_table(spark, path, recover=recover)
     statement = check(schema, parse(text))
+    if recover:
+        return compile(df, schema, statement)
     if statement.where is None and isinstance(statement.select, Count):
         return footer_stats(spark, path).select(F.col("rows").alias("count"))
     if statement.where is None and isinstance(statement.select, Top):
