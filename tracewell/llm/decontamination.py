@@ -1,8 +1,8 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling search, exact edit verification.
 
 Benchmark items and item-sized windows of documents are strings of words. A window can be within
-the edit bound of an item only if it holds enough words of the benchmark's vocabulary, which a
-running sum decides for every window. What remains is embedded by CGK walks: a walk reads the
+the edit bound of an item only if it holds enough words of the benchmark's vocabulary and enough of its
+word pairs (an edit breaks two at most), which running sums decide for every window. What remains is embedded by CGK walks: a walk reads the
 word under it, writes it out, and moves on by a random bit of that word and step, so that a few
 edits become a few differing places of the output. Every other walk begins at the end of the string, so
 that edits which gather on one side leave walks whole. Hash tables over sampled places of the
@@ -59,6 +59,10 @@ class Index:
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for i, (_, w) in enumerate(self.items):
             self.by_length[len(w)].append(i)
+        #: Word pairs of the items in a table of hashed pairs: a bit for each length of items (modulo 64) that have the pair.
+        self.pairs = np.zeros(1 << max(16, (64 * sum(len(w) for _, w in self.items)).bit_length()), dtype=np.uint64)
+        for _, w in self.items:
+            np.bitwise_or.at(self.pairs, self._pair(w), np.uint64(1) << np.uint64(len(w) % 64))
         #: Tables of each length; 0 where windows are verified without tables.
         self.tables = {length: self._enough(length, recall, rng) for length in self.by_length}
         self.keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -69,6 +73,11 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 self.keys[length, walk, table] = key[order], np.array(members)[order]
 
+    def _pair(self, ids: np.ndarray) -> np.ndarray:
+        """Places of neighbouring words in the table of pairs."""
+        x = ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64)
+        return (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - len(self.pairs).bit_length())).astype(np.int64)
+
     def allowed(self, length: int) -> int:
         return int(self.edits * length + 1e-9)
 
@@ -132,10 +141,19 @@ class Index:
         """Window starts by item. ``ids`` may hold several documents with gaps of zeros between them."""
         found: dict[int, set[int]] = defaultdict(set)
         known = np.concatenate([[0], np.cumsum(ids > 0, dtype=np.int32)])
+        lengths = np.where((ids[:-1] > 0) & (ids[1:] > 0), self.pairs[self._pair(ids)], np.uint64(0)) if len(ids) else np.empty(0, dtype=np.uint64)
+        met = np.concatenate([[0], np.cumsum(lengths != 0, dtype=np.int32)])
+        lengths = lengths[lengths != 0]
         for length in self.by_length:
             if len(ids) < length:
                 continue
-            starts = np.flatnonzero(known[length:] - known[:-length] >= length - self.allowed(length))
+            most = self.allowed(length)
+            enough = known[length:] - known[:-length] >= length - most
+            enough &= met[length - 1 :] - met[: len(met) - length + 1] >= length - 1 - 2 * most
+            starts = np.flatnonzero(enough)
+            # The same for the pairs of items of this length alone, over the places that have any.
+            own = np.concatenate([[0], np.cumsum(lengths >> np.uint64(length % 64) & np.uint64(1), dtype=np.int32)])
+            starts = starts[own[met[starts + length - 1]] - own[met[starts]] >= length - 1 - 2 * most]
             if not self.tables[length]:
                 for item in self.by_length[length]:
                     found[item].update(starts.tolist())
@@ -247,7 +265,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, edits: float, recall: float,
 def _drop(index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in gathered(batches, 2500):
+        for batch in gathered(batches, 8000, 32 << 20):
             keep = np.ones(batch.num_rows, dtype=bool)
             if known.items:
                 keep[[m[0] for m in matches(known, [bytes(v) for v in text_views(batch, text_col)])]] = False
@@ -259,7 +277,7 @@ def _drop(index, text_col: str):
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in gathered(batches, 2500) if known.items else ():
+        for batch in gathered(batches, 8000, 32 << 20) if known.items else ():
             texts = [bytes(v) for v in text_views(batch, "text")]
             ids, out = batch.column(0).to_pylist(), []
             for doc, item, edits, a, b in matches(known, texts):
