@@ -7,16 +7,16 @@ from itertools import repeat
 import numpy as np
 
 #: A-Z lowered, ASCII punctuation and controls turned into spaces.
-_PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
+PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def plain_words(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
+    return text.translate(PLAIN).split()
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word of ``plain_words``, in order."""
-    inside = np.frombuffer(text.translate(_PLAIN), dtype=np.uint8) != 32
+    inside = np.frombuffer(text.translate(PLAIN), dtype=np.uint8) != 32
     turn = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     return turn[::2], turn[1::2]
 
