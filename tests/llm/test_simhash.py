@@ -145,3 +145,13 @@ def test_placements_do_not_grow_with_the_table():
         tree = vptree.fit(rng.integers(0, 2**64, max(4096, vptree.PER_SHARD * total // 65_536), dtype=np.uint64), None, total, 65_536, vptree.Rule(3))
         row, leaf = tree.place(rng.integers(0, 2**64, 5000, dtype=np.uint64), None)
         assert len(row) <= most * 5000 and tree.leaves >= 4 * total // 65_536
+
+
+def test_large_components_are_dealt_to_several_tasks(spark, monkeypatch):
+    from tracewell.llm import components as module
+
+    members = spark.createDataFrame([(k, 0 if k < 90 else k, 1000 - k) for k in range(100)], "key long, root long, least long")
+    want = sorted((k, 911 if k < 90 else 1000 - k) for k in range(100))
+    for hot in (10_000, 7):
+        monkeypatch.setattr(module, "HOT", hot)
+        assert sorted((r["key"], r["x"]) for r in module.of_component(members, "key", F.min("least"), "x").collect()) == want

@@ -8,11 +8,14 @@ only sees two numbers a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import discard, stash
 
+#: Members of a component that one task takes, about, when each is to learn something of the whole.
+HOT = 10_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -48,3 +51,17 @@ def _is_star(edges: DataFrame) -> bool:
     roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
     odd = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child = 1 and parent = 1")
     return odd.limit(1).count() == 0
+
+
+def of_component(members: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+    """``members`` (with ``root``) and ``out``: an aggregate over all members of the same root.
+
+    Values are aggregated before the shuffle; a component of more than HOT members is dealt to several
+    tasks by hash of ``key``. The table of such components, which is broadcast, has a row for HOT members at least.
+    """
+    totals = members.groupBy("root").agg(value.alias(out), F.count("*").alias("_n"))
+    parts = F.ceil(F.col("_n") / HOT).cast("int")
+    large = totals.where(f"_n > {HOT}").select("root", parts.alias("_parts"))
+    spread = totals.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    dealt = members.join(F.broadcast(large), "root", "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return dealt.join(spread, ["root", "_part"]).drop("_part")

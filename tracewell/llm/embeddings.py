@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import gathered, ship, slices, stash, suspects, wide
-from .components import components
+from .components import components, of_component
 from .vptree import _forest
 
 #: Bytes of pivots (single precision) of one length of vectors, at most; the sample takes four times as much.
@@ -252,7 +252,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     roots, _ = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     members = groups.select("node", "w", "least").join(degree, "node", "left").join(roots, F.col("node") == F.col("vertex"), "left")
     members = members.select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "n_links", "component_id")
+    named = of_component(members, "node", F.min("least"), "component_id").select("node", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = usable.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import vptree
 from ._work import gathered, ship, slices, stash, suspects, text_views, wide
-from .components import components
+from .components import components, of_component
 
 #: Fingerprints that the top trees are fitted on, at least.
 SAMPLE = 4096
@@ -187,8 +187,7 @@ def simhash_components(docs: DataFrame, words: int = 3, reach: int = 3) -> DataF
     edges = fingerprint_links(groups.select(F.col("fp").alias("key"), "fp"), vptree.Rule(reach))
     roots, path = components(edges)
     class_of = groups.join(roots, groups.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = class_of.join(least, "root").select("fp", "component_id")
+    named = of_component(class_of, "fp", F.min("least"), "component_id").select("fp", "component_id")
     result = marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return result
 
@@ -222,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 20, similar: f
     roots, _ = components(edges)
     class_of = groups.select("key").join(roots, F.col("key") == F.col("vertex"), "left").select("key", F.coalesce("root", "key").alias("root"))
     named = marked.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least")).join(class_of, "key")
-    named = named.select("key", "root", "least").join(named.groupBy("root").agg(F.min("least").alias("winner")), "root").select("key", "winner")
+    named = of_component(named.select("key", "root", "least"), "key", F.min("least"), "winner").select("key", "winner")
     first = F.struct("doc_id", "mark").eqNullSafe(F.col("winner"))
     return marked.select("key", "doc_id", "mark").join(named, "key").select("doc_id", F.col("winner.doc_id").alias("component_id"), "mark", first.alias("first"))
 
