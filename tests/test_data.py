@@ -308,3 +308,9 @@ def test_a_damaged_page_is_noticed(spark, tmp_path):
     df, _ = store.read_table(spark, str(tmp_path / "t"))
     with pytest.raises(Exception, match="(?i)checksum|corrupt|crc"):
         df.agg(F.sum(F.col("c0").cast("double")), F.sum(F.col("c1").cast("double"))).collect()
+
+
+def test_a_table_knows_its_schema(spark, tmp_path):
+    datagen.generate(spark, "web-access", 20).write.text(str(tmp_path / "in"))
+    pack(spark, "web-access", [str(tmp_path / "in")], str(tmp_path / "out"))
+    assert store.read_table(spark, str(tmp_path / "out"))[1] == SCHEMAS["web-access"]

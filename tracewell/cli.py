@@ -148,7 +148,7 @@ def _run(a: argparse.Namespace) -> int:
             from pyspark.sql import functions as F
 
             span = spark.createDataFrame([(facts["min_ts"], facts["max_ts"])], "a long, b long").select(format_ns(F.col("a")), format_ns(F.col("b"))).first()
-            print(f"{facts['rows']} rows, {facts['columns']} columns, {facts['segments']} segments, {human_bytes(_bytes(spark, a.table))}, {span[0]} to {span[1]}")
+            print(f"{facts['schema']}: {facts['rows']} rows, {facts['columns']} columns, {facts['segments']} segments, {human_bytes(_bytes(spark, a.table))}, {span[0]} to {span[1]}")
             for c in schema.columns:
                 print(f"  {c.name}\t{c.logical}{' indexed' if c.indexed else ''}{' nullable' if c.nullable else ''}")
         elif a.command == "search":

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +74,7 @@ def write_table(df: DataFrame, path: str, schema: Schema, options: WriteOptions
     """Write records, in ``seq`` order within files where they have it, and their indexes if asked for."""
     options = options or WriteOptions()
     rows = df.sortWithinPartitions("seq") if "seq" in df.columns else df
-    kept = [F.col(f"`{c.name}`").alias(c.name, metadata={"logical": c.logical, "indexed": c.indexed, "nullable_hint": c.nullable}) for c in schema.columns]
+    kept = [F.col(f"`{c.name}`").alias(c.name, metadata=schema.metadata(c)) for c in schema.columns]
     rows.select(*(["seq"] if "seq" in df.columns else []), *kept).write.mode(mode).options(**options.parquet(schema)).parquet(path)
     if options.index:
         build_index(df.sparkSession, path, options.segment_rows or SEGMENT_ROWS)
@@ -91,7 +91,7 @@ def read_table(spark: SparkSession, *paths: str, recover: bool = False) -> tuple
     except AnalysisException as e:
         raise StorageError(f"no table at {', '.join(paths)}: {e.getCondition()}") from e
     whole = Schema.from_struct(df.schema)
-    return df, Schema(whole.name, tuple(c for c in whole.columns if c.name != "seq"))
+    return df, replace(whole, columns=tuple(c for c in whole.columns if c.name != "seq"))
 
 
 def build_index(spark: SparkSession, path: str, segment_rows: int = SEGMENT_ROWS) -> None:

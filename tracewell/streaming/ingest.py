@@ -57,7 +57,7 @@ def ingest(lines: DataFrame, source: str, out: str, checkpoint: str, every: str
     decoded = adapters.decode_lines(lines, source, wide=wide, numbered=True).observe("ingest", *_counts())
     schema = adapters.get(source, wide).schema
     rows = decoded.where("record is not null").select("seq", "record.*")
-    kept = rows.select("seq", *(F.col(f"`{c.name}`").alias(c.name, metadata={"logical": c.logical, "indexed": c.indexed, "nullable_hint": c.nullable}) for c in schema.columns))
+    kept = rows.select("seq", *(F.col(f"`{c.name}`").alias(c.name, metadata=schema.metadata(c)) for c in schema.columns))
     writer = kept.writeStream.format("parquet").outputMode("append").options(**(options or WriteOptions()).parquet(schema)).option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 

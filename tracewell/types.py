@@ -78,14 +78,20 @@ class Schema:
     def of_type(self, logical: str) -> list[Column]:
         return [c for c in self.columns if c.logical == logical]
 
+    def metadata(self, column: Column) -> dict:
+        """What Parquet keeps with a field: its own marks, and the schema that it belongs to."""
+        return {"logical": column.logical, "indexed": column.indexed, "nullable_hint": column.nullable, "schema": self.name, "schema_id": self.id, "schema_version": self.version}
+
     def struct(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, LOGICAL[c.logical], True, {"logical": c.logical, "indexed": c.indexed, "nullable_hint": c.nullable}) for c in self.columns])
+        return T.StructType([T.StructField(c.name, LOGICAL[c.logical], True, self.metadata(c)) for c in self.columns])
 
     @classmethod
     def from_struct(cls, struct: T.StructType, name: str = "table") -> Schema:
         """From the field metadata, or from the Spark types where there is none."""
         plain = {"bigint": "uint", "int": "uint", "smallint": "uint", "tinyint": "uint", "binary": "ip", "boolean": "bool", "double": "double", "float": "double", "decimal(20,0)": "wide"}
-        return cls(name, tuple(Column(f.name, (f.metadata or {}).get("logical") or plain.get(f.dataType.simpleString(), "string"), bool((f.metadata or {}).get("indexed")), bool((f.metadata or {}).get("nullable_hint"))) for f in struct)).check()
+        known = next((f.metadata for f in struct if (f.metadata or {}).get("schema")), {})
+        columns = tuple(Column(f.name, (f.metadata or {}).get("logical") or plain.get(f.dataType.simpleString(), "string"), bool((f.metadata or {}).get("indexed")), bool((f.metadata or {}).get("nullable_hint"))) for f in struct)
+        return cls(known.get("schema", name), columns, known.get("schema_id", 0), known.get("schema_version", 1)).check()
 
 
 # The three registered table layouts.
