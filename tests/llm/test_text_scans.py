@@ -423,3 +423,22 @@ def test_licenses_against_brute_force():
             kept = len(words) - sum(a != b for a, b in zip(words, edited))
             found = {m[0]: m[1] for m in licenses.scan(index, b" ".join(doc), 0.8)}
             assert (kept < 0.8 * len(words)) or found.get(name, 0) >= kept / len(words) - 1e-9, (name, found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_banded_alignment_against_every_cell(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        template = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 25))]
+        doc = [rng.randrange(0, 6) for _ in range(rng.randrange(0, 40))] if rng.randrange(2) else [w for w in template if rng.randrange(5)] + [0] * rng.randrange(4)
+        diagonal, band = rng.randrange(-3, 6), rng.randrange(1, 7)
+        cells, best = {}, 0
+        for j, t in enumerate(template):
+            for i in range(max(0, j + diagonal - band), min(len(doc), j + diagonal + band + 1)):
+                score = max(0, cells.get((i - 1, j - 1), 0)) + (2 if doc[i] == t else -1)
+                score = max([score] + [cells[c] - 1 for c in ((i, j - 1), (i - 1, j)) if c in cells])
+                if score > 0:
+                    cells[i, j] = score
+                    best = max(best, score)
+        score, matched, start, end = licenses.banded(np.array(doc, dtype=np.int64), np.array(template), diagonal, band)
+        assert score == best and (not best or 0 <= start < end <= len(doc) and 2 * matched >= score)

@@ -85,24 +85,35 @@ class Index:
         return out
 
 
-def banded(doc: list[int], template: list[int], diagonal: int, band: int) -> tuple[int, int, int, int]:
-    """Best local alignment with doc - template within ``band`` of ``diagonal``: (score, matched, start, end) in the document."""
-    best, last = (0, 0, 0, 0), {}
-    for j, t in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
-        for i in range(max(0, j + diagonal - band), min(len(doc), j + diagonal + band + 1)):
-            score, matched, start = last.get(i - 1, (0, 0, i))
-            hit = doc[i] == t
-            cell = score + (MATCH if hit else MISS), matched + hit, start if score else i
-            for other in (last.get(i), row.get(i - 1)):
-                if other and other[0] + GAP > cell[0]:
-                    cell = other[0] + GAP, other[1], other[2]
-            if cell[0] > 0:
-                row[i] = cell
-                if cell[0] > best[0]:
-                    best = cell[0], cell[1], cell[2], i + 1
-        last = row
-    return best
+#: A cell of the alignment in one number: score, then matched words, then how early it starts.
+_SCORE, _HIT, _EARLY = 1 << 42, 1 << 22, (1 << 22) - 1
+
+
+def banded(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int]:
+    """Best local alignment with doc - template within ``band`` of ``diagonal``: (score, matched, start, end) in the document.
+
+    A row of the programme holds the 2 * band + 1 places of the document that a word of the template may
+    meet; steps along the document are a running maximum. Of equal scores the one with most matched words
+    that starts first is taken, and the first place where it ends.
+    """
+    width = 2 * band + 1
+    step = np.arange(width, dtype=np.int64)
+    padded = np.full(len(doc) + 2 * width + len(template) + abs(diagonal), -1, dtype=np.int64)
+    lead = width + max(0, band - diagonal)
+    padded[lead : lead + len(doc)] = doc
+    last, best, end = np.full(width + 1, -_SCORE, dtype=np.int64), 0, 0
+    for j, word in enumerate(template.tolist()):
+        at = j + diagonal - band + step
+        hit = padded[lead + at[0] : lead + at[0] + width] == word
+        fresh = np.where((at >= 0) & (at < len(doc)), _EARLY - at, -_SCORE)
+        row = np.maximum(last[:width], fresh) + np.where(hit, MATCH * _SCORE + _HIT, MISS * _SCORE)
+        row = np.maximum(row, last[1:] + GAP * _SCORE)
+        row = np.maximum.accumulate(row - GAP * _SCORE * step) + GAP * _SCORE * step
+        row[(row < _SCORE) | (at < 0) | (at >= len(doc))] = -_SCORE
+        if (top := int(row.max())) > best and top >> 42 > best >> 42:
+            best, end = top, int(at[int(np.argmax(row))]) + 1
+        last = np.r_[row, -_SCORE]
+    return (best >> 42, best >> 22 & (1 << 20) - 1, _EARLY - (best & _EARLY), end) if best else (0, 0, 0, 0)
 
 
 def scan(index: Index, text: bytes, coverage: float) -> list[tuple[str, float, int, int]]:
@@ -110,7 +121,7 @@ def scan(index: Index, text: bytes, coverage: float) -> list[tuple[str, float, i
     ids = number(plain_words(text), index.vocabulary)
     out = []
     for template, seeds in index.seeds(ids).items():
-        words = index.words[template].tolist()
+        words = index.words[template]
         band = max(3, len(words) // 8)
         groups: list[list[tuple[int, int]]] = []
         near: list[list[tuple[int, int]]] = []  # groups that a further seed may still belong to
@@ -125,7 +136,7 @@ def scan(index: Index, text: bytes, coverage: float) -> list[tuple[str, float, i
         for g in groups:
             diagonal = sorted(a - b for a, b in g)[len(g) // 2]
             low = max(0, diagonal - band)
-            part = ids[low : diagonal + len(words) + band + 1].tolist()
+            part = ids[low : diagonal + len(words) + band + 1]
             _, matched, a, b = banded(part, words, diagonal - low, band)
             if matched >= coverage * len(words):
                 out.append((index.names[template], matched / len(words), low + a, low + b))
