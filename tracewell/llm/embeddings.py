@@ -72,7 +72,7 @@ def choose_pivots(vectors: np.ndarray, want: int, least: float) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The ``prefix`` nearest pivots of each unit vector, nearest first."""
+    """The ``prefix`` nearest pivots of each vector by cosine, nearest first."""
     out = np.empty((len(x), prefix), dtype=np.int32)
     step = max(16, (8 << 20) // max(1, len(pivots)))
     ref = pivots.T.astype(np.float32)
@@ -83,14 +83,20 @@ def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
-def fitted(vectors: np.ndarray, total: int, least: float, seed: int = 5) -> tuple[np.ndarray, int]:
-    """Pivots and how many of them describe a vector, by trial on partners at the cosine ``least``.
+def fitted(vectors: np.ndarray, total: int, least: float, seed: int = 5) -> tuple[np.ndarray, int, np.ndarray]:
+    """Pivots, how many of them describe a vector, by trial on partners at the cosine ``least``, and the centre.
+
+    Vectors are described by their directions from the centre of the sample: where all lie in a cone, the
+    pivots nearest to its axis would be near to everything else.
 
     Half of the partners lie in any direction, half in that of another sampled vector. Where MOST_PREFIX
     pivots don't reach RECALL for both halves, fewer pivots are taken.
     """
     rng, dim = np.random.default_rng(seed), vectors.shape[1]
-    pivots = choose_pivots(vectors, wanted_pivots(total, dim), least)
+    centre = vectors.mean(0) if len(vectors) else np.zeros(dim)
+    moved = vectors - centre
+    size = np.linalg.norm(moved, axis=1, keepdims=True)
+    pivots = choose_pivots((moved / np.maximum(size, 1e-12))[size[:, 0] > 1e-6], wanted_pivots(total, dim), least)
     x = vectors[rng.permutation(len(vectors))[:TRIALS]]
     away = np.where((np.arange(len(x)) % 2 == 0)[:, None], rng.normal(size=x.shape), vectors[rng.integers(0, len(vectors), len(x))])
     away -= (away * x).sum(1, keepdims=True) * x
@@ -99,13 +105,13 @@ def fitted(vectors: np.ndarray, total: int, least: float, seed: int = 5) -> tupl
     told = size[:, 0] > 1e-9
     while len(pivots) > PREFIX:
         most = min(MOST_PREFIX, len(pivots) - 1)
-        a, b = nearest(x, pivots, most), nearest(y, pivots, most)
+        a, b = nearest(x - centre, pivots, most), nearest(y - centre, pivots, most)
         for prefix in range(min(PREFIX, most), most + 1):
             both = (a[:, :prefix, None] == b[:, None, :prefix]).sum((1, 2)) >= 2
             if all(both[k::2][told[k::2]].mean() >= RECALL for k in (0, 1) if told[k::2].any()):
-                return pivots, prefix
+                return pivots, prefix, centre
         pivots = pivots[: len(pivots) // 2]
-    return pivots[:0], 2
+    return pivots[:0], 2, centre
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -193,7 +199,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     usable = rows.where("good")
     # Lengths of vectors are few; those of FEW rows or fewer need no pivots.
     dims = {r["dim"]: r["count"] for r in usable.groupBy("dim").count().where(f"count > {FEW}").collect()}
-    models: dict[int, tuple[np.ndarray, int]] = {}
+    models: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
     if dims:
         wants = {d: min(n, max(2 * TRIALS, 4 * wanted_pivots(n, d))) for d, n in dims.items()}
         shares = spark.createDataFrame([(d, int((1 << 40) * wants[d] / n)) for d, n in dims.items()], "dim int, below long")
@@ -216,8 +222,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
                 for i, c in zip(at.tolist(), code):
                     codes[i] = c.tobytes()
                 if int(d) in shared.value:
-                    ref, prefix = shared.value[int(d)]
-                    near[at, :prefix] = np.sort(nearest(x, ref, prefix), axis=1)
+                    ref, prefix, centre = shared.value[int(d)]
+                    near[at, :prefix] = np.sort(nearest(x - centre, ref, prefix), axis=1)
                 else:
                     near[at, :2] = 0, 1  # one list holds all
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(list(near), pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(errs)], names=["vec_id", "node", "dim", "part", "near", "code", "err"])
