@@ -265,7 +265,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, edits: float, recall: float,
 def _drop(index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in gathered(batches, 8000, 32 << 20):
+        for batch in gathered(batches, 5000, 16 << 20):
             keep = np.ones(batch.num_rows, dtype=bool)
             if known.items:
                 keep[[m[0] for m in matches(known, [bytes(v) for v in text_views(batch, text_col)])]] = False
@@ -277,7 +277,7 @@ def _drop(index, text_col: str):
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Index = pickle.loads(index.value)
-        for batch in gathered(batches, 8000, 32 << 20) if known.items else ():
+        for batch in gathered(batches, 5000, 16 << 20) if known.items else ():
             texts = [bytes(v) for v in text_views(batch, "text")]
             ids, out = batch.column(0).to_pylist(), []
             for doc, item, edits, a, b in matches(known, texts):
