@@ -135,6 +135,9 @@ def scan(index: Index, text: bytes, coverage: float) -> list[tuple[str, float, i
                 home.append(seed)
         for g in groups:
             diagonal = sorted(a - b for a, b in g)[len(g) // 2]
+            if diagonal >= 0 and np.array_equal(ids[diagonal : diagonal + len(words)], words):  # nothing aligns better
+                out.append((index.names[template], 1.0, diagonal, diagonal + len(words)))
+                continue
             low = max(0, diagonal - band)
             part = ids[low : diagonal + len(words) + band + 1]
             _, matched, a, b = banded(part, words, diagonal - low, band)
