@@ -140,6 +140,8 @@ def scan(index: Index, text: bytes, coverage: float) -> list[tuple[str, float, i
                 continue
             low = max(0, diagonal - band)
             part = ids[low : diagonal + len(words) + band + 1]
+            if np.isin(words, part).sum() < coverage * len(words):  # so many words cannot match
+                continue
             _, matched, a, b = banded(part, words, diagonal - low, band)
             if matched >= coverage * len(words):
                 out.append((index.names[template], matched / len(words), low + a, low + b))
