@@ -169,32 +169,34 @@ class Boosted:
         self.start = math.log(share / (1 - share))
         f = np.full(len(y), self.start)
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.02, 0.98, 32))) for j in range(x.shape[1])]
+        codes = [np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)]  # how many cuts lie below a value
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, y - p, p * (1 - p), np.ones(len(y), bool), cuts, 2)
+            tree = self._grow(codes, y - p, p * (1 - p), np.arange(len(y)), cuts, 2)
             self.trees.append(tree)
             f += self.rate * self._apply(tree, x)
         return self
 
-    def _grow(self, x, g, h, at, cuts, depth):
+    def _grow(self, codes, g, h, at, cuts, depth):
         total_g, total_h = g[at].sum(), h[at].sum() + 1.0
         leaf = total_g / total_h
-        if not depth or at.sum() < 8:
+        if not depth or len(at) < 8:
             return leaf
         best, gain = None, 1e-4
         for j, values in enumerate(cuts):
-            for c in values:
-                left = at & (x[:, j] <= c)
-                gl, hl = g[left].sum(), h[left].sum() + 1.0
-                gr, hr = total_g - gl, total_h - hl + 1.0
-                won = gl * gl / hl + gr * gr / hr - total_g * total_g / total_h
-                if won > gain:
-                    best, gain = (j, c), won
+            code = codes[j][at]
+            gl = np.cumsum(np.bincount(code, g[at], len(values) + 1))[:-1]
+            hl = np.cumsum(np.bincount(code, h[at], len(values) + 1))[:-1] + 1.0
+            gr, hr = total_g - gl, total_h - hl + 1.0
+            won = gl * gl / hl + gr * gr / hr - total_g * total_g / total_h
+            k = int(np.argmax(won))
+            if won[k] > gain:
+                best, gain = (j, k), won[k]
         if best is None:
             return leaf
-        j, c = best
-        left = x[:, j] <= c
-        return (j, float(c), self._grow(x, g, h, at & left, cuts, depth - 1), self._grow(x, g, h, at & ~left, cuts, depth - 1))
+        j, k = best
+        left = codes[j][at] <= k
+        return (j, float(cuts[j][k]), self._grow(codes, g, h, at[left], cuts, depth - 1), self._grow(codes, g, h, at[~left], cuts, depth - 1))
 
     def _apply(self, tree, x):
         if not isinstance(tree, tuple):
