@@ -181,6 +181,15 @@ def test_indexed_columns_have_bloom_filters(spark, tmp_path):
         reader.close()
 
 
+def test_filters_of_small_segments_are_small(spark, tmp_path):
+    rows = spark.range(64 * 1024).select((F.col("id") * 10**6).alias("timestamp"), F.md5(F.col("id").cast("string")).alias("username")).coalesce(1)
+    schema, sizes = Schema("t", tuple(c for c in HONEYPOT.columns if c.name in rows.columns)), {}
+    for bloom in (True, False):
+        store.write_table(rows, str(tmp_path / str(bloom)), schema, store.WriteOptions(segment_rows=1024, bloom=bloom))
+        sizes[bloom] = sum(p.stat().st_size for p in (tmp_path / str(bloom)).glob("part-*"))
+    assert 64 * 1024 < sizes[True] - sizes[False] < 64 * 4096
+
+
 def test_malformed_lines_are_skipped(spark):
     good = '{"ts":5,"asn":1}'
     bad = [good + " x", good + good, good + "]", "[" + good, good + "}", '{"ts":5,"bytes":NaN}', '{"ts":5,"bytes":Infinity}', '{"ts":5,"bytes":1e999}', '{"ts":5,"a":' + "[" * 100_000, '{"ts":"5\\n"}', '{"ts":"2024-06-01T00:00:00Z\\n"}', good + ',0],{"a":1}', '{"ts":5,"asn":01}', '{"ts":5,"a":"\t"}', "{'ts':5}", '{"ts":5,}']

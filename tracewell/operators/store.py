@@ -40,6 +40,9 @@ class WriteOptions:
             out["parquet.writer.version"] = "PARQUET_1_0"
         if self.segment_rows:
             out["parquet.block.row.count.limit"] = str(self.segment_rows)
+            # A writer holds the filters of all row groups until it closes the file, each with its candidates from
+            # the most bytes down to a sixteenth: so no more bytes than the values of a full group need.
+            out["parquet.bloom.filter.max.bytes"] = str(min(1 << 20, 1 << (10 * self.segment_rows // 8).bit_length()))
         # Filters sized by what a file holds; else each would take a megabyte.
         out |= {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.fpp": "0.01"}
         for c in schema.columns:
