@@ -118,6 +118,21 @@ def test_postings(spark):
     assert indexes.matched_rows(indexes.both(index.where("value = 22"), index.where("value = 80"))).first()[0] == 0
 
 
+def test_postings_of_rare_values_are_small(spark):
+    values = {i: i % 3 if i % 2 else 1000 + i for i in range(5000)}
+    df = spark.createDataFrame(list(values.items()), "seq long, v long")
+    for segment in (1024, 65_536):
+        index = indexes.postings(df, "v", segment).cache()
+        assert sum(len(r["bits"]) for r in index.collect()) <= 64 * len(values)
+        held = {(r["segment_id"] * segment + (r["bucket"] - 1) * indexes.PAGE + k, r["value"]) for r in index.collect() for k in range(8 * len(r["bits"])) if r["bits"][k // 8] >> k % 8 & 1}
+        assert held == set(values.items())
+        assert {tuple(r) for r in indexes.posting_counts(index).where("value < 3").collect()} == {(s, v, n) for s in range(-(-5000 // segment)) for v in range(3) if (n := sum(values[i] == v for i in range(s * segment, min(5000, (s + 1) * segment))))}
+        odd, some = index.where("value < 3"), index.where("value in (0, 1, 1004, 1062, 4998)")
+        assert indexes.matched_rows(indexes.both(odd, some)).first()[0] == sum(v in (0, 1) for v in values.values())
+        assert indexes.matched_rows(indexes.either(odd, some)).first()[0] == 2500 + 3
+        assert indexes.matched_rows(indexes.both(indexes.either(odd, some), some)).first()[0] == sum(v in (0, 1, 1004, 1062, 4998) for v in values.values())
+
+
 def test_info_and_schema_rules(flows):
     assert catalog.info(flows, SCHEMA, 128) == {"schema": "test-flow", "rows": 1000, "columns": 6, "segments": 8, "min_ts": 1_700_000_000_000_000_000, "max_ts": 1_700_000_000_999_000_000}
     for columns in ((), (Column("", "uint"),), (Column("a", "uint"), Column("a", "port")), (Column("a", "blob"),)):
