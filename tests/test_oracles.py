@@ -46,3 +46,12 @@ def test_ip_v6_roundtrip_of_users_beyond_a_group(spark, tmp_path):
     want = duckdb.sql(core.SQL["ip_v6_roundtrip"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in core.QUERIES["ip_v6_roundtrip"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and want[8][1] == "2001:db8::15f90:0:9"
+
+
+def test_stored_queries_over_many_segments(spark, tmp_path):
+    """Several segments and files, and addresses that are nearly all different."""
+    rows = spark.range(5000).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "id * 31 AS user_id", "'click' AS event_type", "id / 7.0D AS value")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stored_count", "stored_top", "stored_postings"):
+        want = duckdb.sql(core.SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+        assert [tuple(r) for r in core.QUERIES[name](spark, str(tmp_path)).collect()] == want
