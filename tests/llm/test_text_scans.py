@@ -442,3 +442,25 @@ def test_banded_alignment_against_every_cell(seed):
                     best = max(best, score)
         score, matched, start, end = licenses.banded(np.array(doc, dtype=np.int64), np.array(template), diagonal, band)
         assert score == best and (not best or 0 <= start < end <= len(doc) and 2 * matched >= score)
+
+
+def test_no_document_of_a_large_family_is_lost(spark, monkeypatch):
+    """200 copies of 60 words, each edited, under hot keys and others: all that repeat an earlier one, in one component."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    members = family(rng, fresh, 200, 60)
+    rows = [(k, " ".join(fresh(rng.randrange(20, 90)) + m + fresh(rng.randrange(20, 90)))) for k, m in enumerate(members)]
+    rows += [(k, " ".join(fresh(40) + members[100][:20] + fresh(60))) for k in range(200, 300)]  # share a line, not a passage
+    need = {j for at in range(11) for j, _ in similar_pairs([m[at : at + 50] for m in members])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for scout, least, compared in ((64, 24, 8192), (1, 5, 50)):
+        monkeypatch.setattr(substrings, "SCOUT", scout)
+        monkeypatch.setattr(substrings, "HOT_LEAST", least)
+        monkeypatch.setattr(substrings, "COMPARED", compared)
+        found = [(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated_passages(docs).collect()]
+        print(len(need & {d for d, _ in found}), len(need), len(found))
+        assert {d for pair in found for d in pair} <= set(range(200)) and len(need & {d for d, _ in found}) >= 0.99 * len(need)
+        home = {k: k for k in range(200)}
+        for a, b in found:
+            home = {k: min(home[a], home[b]) if v in (home[a], home[b]) else v for k, v in home.items()}
+        assert max(list(home.values()).count(v) for v in set(home.values())) >= 0.99 * len(need)

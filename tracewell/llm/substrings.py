@@ -38,6 +38,11 @@ HOT_SHARE = 0.002
 HOT_LEAST = 24
 #: Windows of one hot key and surroundings that one task takes, about; more are dealt by document too.
 HOT_ROWS = 100_000
+#: Rows of a hot key that a task compares with all earlier ones, about; pairs that are compared at a time.
+COMPARED = 8192
+PAIRS = 1 << 15
+#: Shingles by which the diagonal of two passages may shift at an edit.
+DRIFT = 8
 #: Shingles of texts that a worker keeps while it verifies, about.
 CACHED_SHINGLES = 3_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,8 +226,17 @@ def _periodic(h: np.ndarray, g: np.ndarray, left: np.ndarray, at: np.ndarray, ri
 class Hot:
     """Keys that very many documents share, and how many tasks take each of their surroundings that is common too."""
 
-    def __init__(self, keys: np.ndarray, pairs: np.ndarray, tasks: np.ndarray):
-        self.keys, self.pairs, self.tasks = keys, pairs, tasks
+    def __init__(self, keys: np.ndarray, pairs: np.ndarray, tasks: np.ndarray, rows: np.ndarray):
+        self.keys, self.pairs, self.tasks, self.rows = keys, pairs, tasks, rows
+
+    def parts(self, key: np.ndarray) -> np.ndarray:
+        """How many tasks compare the rows of a key: one for COMPARED of them."""
+        out = np.ones(len(key), dtype=np.int64)
+        if len(self.keys):
+            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hot = self.keys[slot] == key
+            out[hot] = -(-self.rows[slot[hot]] // COMPARED)
+        return out
 
     @staticmethod
     def pair(key: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -243,7 +257,7 @@ class Hot:
         return out
 
 
-_NONE = Hot(*(np.empty(0, dtype=np.int64) for _ in range(3)))
+_NONE = Hot(*(np.empty(0, dtype=np.int64) for _ in range(4)))
 _WINDOW = "key long, salt long, near int, sig long, doc long, f tinyint, l int, c int, r int"
 
 
@@ -307,12 +321,13 @@ def _hot_keys(docs: DataFrame, span: int) -> Hot:
     least = max(HOT_LEAST, int(HOT_SHARE * scouted.count()))
     seen, _ = stash(_windows(scouted, span).groupBy("key", "near").agg(F.count("*").alias("n")), "passage-scouts")
     rows = seen.join(F.broadcast(seen.groupBy("key").agg(F.sum("n").alias("all")).where(f"all >= {least}").select("key")), "key").where(f"n * {SCOUT} > {HOT_ROWS}").collect()
-    keys = np.array(sorted(r["key"] for r in seen.groupBy("key").agg(F.sum("n").alias("all")).where(f"all >= {least}").select("key").collect()), dtype=np.int64)
+    found = sorted((r["key"], r["all"]) for r in seen.groupBy("key").agg(F.sum("n").alias("all")).where(f"all >= {least}").collect())
+    keys, sizes = np.array([k for k, _ in found], dtype=np.int64), np.array([SCOUT * n for _, n in found], dtype=np.int64)
     if not rows:
-        return Hot(keys, *(np.empty(0, dtype=np.int64) for _ in range(2)))
+        return Hot(keys, *(np.empty(0, dtype=np.int64) for _ in range(2)), sizes)
     pairs = Hot.pair(np.array([r["key"] for r in rows], dtype=np.int64), np.array([r["near"] for r in rows]))
     order = np.argsort(pairs)
-    return Hot(keys, pairs[order], np.array([-(-r["n"] * SCOUT // HOT_ROWS) for r in rows], dtype=np.int64)[order])
+    return Hot(keys, pairs[order], np.array([-(-r["n"] * SCOUT // HOT_ROWS) for r in rows], dtype=np.int64)[order], sizes)
 
 
 _TIE = "key long, salt long, near int, sig long, doc long, to long, f tinyint, l int, c int, r int, tl int, tc int, tr int"
@@ -486,6 +501,182 @@ def _exact_runs(docs: DataFrame, crowded: DataFrame, span: int) -> DataFrame:
     return ties.groupBy("doc", "to").agg(F.collect_list(F.struct("at", "d")).alias("ties")).mapInArrow(joined, "doc long, to long, a long, b long, d long")
 
 
+def _joined(lab: np.ndarray, row: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Labels of rows after those with a mark in common have been joined, each the least of its component."""
+    while True:
+        least = np.full(int(mark.max()) + 1 if len(mark) else 0, len(lab), dtype=lab.dtype)
+        np.minimum.at(least, mark, lab[row])
+        new = lab.copy()
+        np.minimum.at(new, row, least[mark])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+class _Group:
+    """Rows of one key by document, and the shingles around their places as bytes, 0 outside of the text."""
+
+    def __init__(self, doc: np.ndarray, content: np.ndarray, span: int, similar: float):
+        self.doc, self.span, self.width = doc, span, content.shape[1]
+        self.need = int(np.ceil(2 * similar / (1 + similar) * span - 1e-9))
+        self.content = np.zeros((len(doc), -(-self.width // 8) * 8), dtype=np.uint8)
+        self.content[:, : self.width] = content
+        self.query = np.where(self.content == 0, np.uint8(255), self.content)
+        self.lab = self._equal()
+
+    def _equal(self) -> np.ndarray:
+        """Rows of one document are one, and so are those with a run of ``span`` shingles in common, which other ways tie."""
+        x, n = self.content[:, : self.width], len(self.doc)
+        sums = np.zeros((n, self.width + 1), dtype=np.uint64)
+        np.cumsum(x * _POWERS[0][: self.width], axis=1, out=sums[:, 1:])
+        k = np.arange(self.width - self.span + 1)
+        run = (sums[:, k + self.span] - sums[:, k]) * _POWERS[1][k]
+        row, at = np.nonzero((x[:, k] > 0) & (x[:, k + self.span - 1] > 0))
+        _, mark, count = np.unique(run[row, at], return_inverse=True, return_counts=True)
+        some = count[mark] > 1
+        docs = np.unique(self.doc, return_inverse=True)[1]
+        return _joined(np.arange(n), np.r_[np.arange(n), row[some]], np.r_[docs, mark[some] + n])
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a stretch of ``span`` shingles around the place of i is similar to what j has around its own, up to DRIFT off."""
+        out = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), 4096):
+            mine, other = self.query[i[at : at + 4096], : self.width], self.content[j[at : at + 4096], : self.width]
+            hit = mine == other
+            padded = np.pad(other, ((0, 0), (DRIFT, DRIFT)))
+            for shift in (*range(DRIFT), *range(DRIFT + 1, 2 * DRIFT + 1)):
+                same = mine == padded[:, shift : shift + self.width]
+                pair = same[:, 1:] & same[:, :-1]  # one byte alone may be equal by chance
+                hit[:, 1:] |= pair
+                hit[:, :-1] |= pair
+            sums = np.zeros((len(hit), self.width + 1), dtype=np.int16)
+            np.cumsum(hit, axis=1, out=sums[:, 1:])
+            k = np.arange(self.width - self.span + 1)
+            out[at : at + 4096] = ((sums[:, k + self.span] - sums[:, k] >= self.need) & hit[:, k] & hit[:, k + self.span - 1]).any(axis=1)
+        return out
+
+    def links(self, part: int, parts: int) -> list[tuple[int, int]]:
+        """(row, earlier row): for each row of the part one link to each component of earlier rows that it joins."""
+        n, found = len(self.doc), []
+        if not self.lab.any():
+            return found
+        step = max(1, PAIRS // n)
+        rows = np.arange(part, n, parts)
+        floor = self.need // 2  # one edit leaves a half that is not shifted; the place lies in it for some function
+        for at in range(0, len(rows), step):
+            i = rows[at : at + step]
+            end = int(i[-1])
+            same = (self.query[i][:, None, :] == self.content[None, :end, :]).view(np.uint64)
+            hits = np.bitwise_count(same).sum(axis=2, dtype=np.int16)
+            a, j = np.nonzero((hits >= floor) & (self.lab[None, :end] != self.lab[i][:, None]) & (np.arange(end)[None, :] < i[:, None]))
+            order = np.lexsort((j, -hits[a, j], self.lab[j], a))
+            a, j = a[order], j[order]
+            for rest in (False, True):  # the most alike of each component first, all others where these do not do
+                if not len(a):
+                    break
+                lead = np.r_[True, (a[1:] != a[:-1]) | (self.lab[j[1:]] != self.lab[j[:-1]])]
+                group = np.cumsum(lead) - 1
+                tried = np.flatnonzero(np.ones(len(a), dtype=bool) if rest else lead)
+                good = tried[self.similar(i[a[tried]], j[tried])]
+                done, first = np.unique(group[good], return_index=True)
+                found += [(int(i[a[g]]), int(j[g])) for g in good[first]]
+                left = ~np.isin(group, done) & (np.zeros(len(a), dtype=bool) if rest else ~lead)
+                joins = np.array([(i[a[g]], j[g]) for g in good[first]], dtype=np.int64).reshape(-1, 2)
+                a, j = a[left], j[left]
+                if len(joins):
+                    pairs = np.arange(len(joins))
+                    marks = np.unique(self.lab, return_inverse=True)[1]
+                    self.lab = _joined(self.lab, np.r_[np.arange(n), joins[:, 0], joins[:, 1]], np.r_[marks, pairs + n, pairs + n])
+                    stay = self.lab[j] != self.lab[i[a]]
+                    a, j = a[stay], j[stay]
+                    order = np.lexsort((self.lab[j], a))
+                    a, j = a[order], j[order]
+        return found
+
+
+def _around(docs: DataFrame, bitmap, hot: Hot, span: int) -> DataFrame:
+    """key, part, parts, doc, c, content: the shingles around each place of a crowded key, a byte each; rows of hot keys once for each part."""
+    half = span - 1
+
+    def made(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        h, gaps, owner, starts = _laid(sizes, words)
+        last = starts + sizes - (WORDS - 1)
+        code = np.zeros(len(h) + 2 * half, dtype=np.uint8)
+        code[half : half + len(h)] = (h >> np.uint64(23)) % np.uint64(254) + np.uint64(1)
+        around = np.lib.stride_tricks.sliding_window_view(code, 2 * half + 1)
+        places, keys = [], []
+        for f in range(HASHES if len(h) >= span else 0):
+            g = hashed(h, f)
+            least, place = _least_of_runs(g, span, gaps)
+            at = (least[np.flatnonzero(np.r_[True, least[1:] != least[:-1]])] & place).astype(np.int64)
+            at = at[~gaps[at] & _in_bitmap(g[at], bitmap.value)]
+            places.append(at)
+            keys.append(g[at].view(np.int64))
+        at, key = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (places, keys))
+        who = owner[at]
+        content = around[at]
+        col = at[:, None] + np.arange(-half, half + 1)
+        content = np.where((col >= starts[who][:, None]) & (col < last[who][:, None]), content, np.uint8(0))
+        # Of equal surroundings in one document one row stays.
+        mark = (content * _POWERS[0][: 2 * half + 1]).sum(axis=1, dtype=np.uint64)
+        order = np.lexsort((at, mark, key, who))
+        new = np.r_[True, (np.diff(who[order]) != 0) | (np.diff(key[order]) != 0) | (mark[order][1:] != mark[order][:-1])] if len(at) else np.empty(0, dtype=bool)
+        kept = order[new]
+        parts = hot.parts(key[kept])
+        kept, parts, part = np.repeat(kept, parts), np.repeat(parts, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        columns = (key[kept], part, parts, ids[who[kept]], at[kept] - starts[who[kept]])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))), pa.array([x.tobytes() for x in content[kept]], pa.binary())], names=["key", "part", "parts", "doc", "c", "content"])
+
+    return docs.mapInArrow(_chunked(made, span), "key long, part int, parts int, doc long, c int, content binary")
+
+
+def _edited(docs: DataFrame, crowded: DataFrame, hot: Hot, span: int, similar: float) -> DataFrame:
+    """(doc, to, a, b, d): the exact way for rows of crowded keys, which signatures tie to a few others only.
+
+    All pairs of different surroundings under a key are compared but those already in one component; a
+    document is tied to each component of earlier ones that it is similar to, so no link between
+    components is lost and ties do not grow with the pairs.
+    """
+    spark, half = docs.sparkSession, span - 1
+    bitmap = spark.sparkContext.broadcast(_bitmap(crowded))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> list[tuple[int, ...]]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            doc, c = (rows.column(n).to_numpy() for n in ("doc", "c"))
+            content = np.frombuffer(b"".join(rows.column("content").to_pylist()), dtype=np.uint8).reshape(len(doc), 2 * half + 1)
+            _, first = np.unique(content.view(f"S{content.shape[1]}").ravel(), return_index=True)
+            first = np.sort(first)
+            doc, c, content = doc[first], c[first], content[first]
+            if len(np.unique(doc)) < 2:
+                return []
+            group = _Group(doc, content, span, similar)
+            low, high = np.argmax(content > 0, axis=1), 2 * half - np.argmax(content[:, ::-1] > 0, axis=1)
+            return [(doc[i], doc[j], c[i] - half + low[i], c[i] - half + high[i], c[i] - c[j]) for i, j in group.links(rows.column("part")[0].as_py(), rows.column("parts")[0].as_py())]
+
+        for batch in gathered(batches, 12_000):
+            if not batch.num_rows:
+                continue
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            turn = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            out = []
+            for a, b in zip(turn, np.r_[turn[1:], len(key)]):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (key[a], part[a]):
+                    out += done() if sum(x.num_rows for x in held) > TIED else []
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc", "to", "a", "b", "d"])
+        if held and (out := done()):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc", "to", "a", "b", "d"])
+
+    rows = _around(docs, bitmap, hot, span).repartition(wide(spark), "key", "part").sortWithinPartitions("key", "part", "doc", "c")
+    return rows.mapInArrow(compare, "doc long, to long, a long, b long, d long")
+
+
 def regions(ties: list[tuple[int, int, int, int, int, int, int]], span: int) -> list[tuple[int, int, int]]:
     """(start, end, diagonal) in shingles where AGREE hash functions or more cover a place.
 
@@ -643,7 +834,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, similar: float = 0.8, id
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "to", "a", "b", "d"])
 
-    placed = pairs.select("doc", "to", "ties").mapInArrow(place, "doc long, to long, a long, b long, d long").unionByName(_exact_runs(alone, crowded, span))
+    placed = pairs.select("doc", "to", "ties").mapInArrow(place, "doc long, to long, a long, b long, d long").unionByName(_exact_runs(alone, crowded, span)).unionByName(_edited(alone, crowded, hot, span, similar))
     candidates, _ = stash(placed.groupBy("doc", "to").agg(F.collect_list(F.struct("a", "b", "d")).alias("at")), "passage-candidates")
     # Suspects are enough: the joins below leave out the few that a bitmap wrongly lets through.
     ids = candidates.select("doc").unionByName(candidates.select(F.col("to").alias("doc")))
