@@ -1,5 +1,6 @@
 """Token counts, quality and mixing."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -173,3 +174,12 @@ def test_special_strings_of_any_form(tmp_path):
     json.dump(spec, open(str(tmp_path / "odd.json"), "w", encoding="utf-8"))
     with pytest.raises(ValueError):
         token_counts._counter(str(tmp_path / "odd.json"), {})
+
+
+def test_fitting_holds_the_counts_once():
+    c = np.random.default_rng(3).poisson(0.1, (2048, quality.BINS)).astype(np.float32)
+    tracemalloc.start()
+    quality.fit_counts(c, np.zeros((len(c), 10), np.float32), [0, 1] * (len(c) // 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < c.nbytes // 2

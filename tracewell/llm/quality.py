@@ -24,6 +24,8 @@ LABELLED = 4096
 AXES = 48
 NEIGHBOURS = 25
 BINS = 4096
+#: Rows of counts that are weighted at a time when the space is fitted.
+BLOCK = 256
 #: Votes weigh exp(SHARP * (cosine - 1)).
 SHARP = 12.0
 
@@ -57,6 +59,13 @@ def shape(text: memoryview) -> np.ndarray:
     return np.array([*kinds, len(set(words)) / k, len(set(lines)) / len(lines), np.log1p(k) / 10, n / k / 20, len(lines) / k], dtype=np.float32)
 
 
+def _weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Sublinear, idf-weighted counts of unit length."""
+    tf = np.log1p(c) * idf
+    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
+    return tf
+
+
 class Space:
     """Latent axes, labelled vectors and the vote."""
 
@@ -67,8 +76,10 @@ class Space:
         self.prior = 0.5
 
     def project(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
-        tf = np.log1p(c) * self.idf
-        tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
+        return self.placed(_weighted(c, self.idf), s)
+
+    def placed(self, tf: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Latent vectors from weighted counts and shapes."""
         z = np.hstack([tf @ self.axes, (s - self.centre) * self.scale]).astype(np.float32)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
@@ -94,21 +105,22 @@ def fit(texts: list[bytes], labels: list[int]) -> Space:
 
 
 def fit_counts(c: np.ndarray, s: np.ndarray, labels: list[int]) -> Space:
-    """The space from the counts and shapes of labelled texts."""
+    """The space from the counts and shapes of labelled texts. The counts are overwritten: the driver's memory has room for them once."""
     if not len(c):
         return Space(np.ones(BINS, np.float32), np.zeros((BINS, 1), np.float32), np.zeros(10, np.float32), np.ones(10, np.float32))
-    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))).astype(np.float32) + 0.1
-    tf = np.log1p(c) * idf
-    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(c), BLOCK)]
+    idf = np.log((1 + len(c)) / (1 + sum((c[b] > 0).sum(0) for b in blocks))).astype(np.float32) + 0.1
+    for b in blocks:
+        c[b] = _weighted(c[b], idf)
     # Leading right singular vectors by subspace iteration from a fixed start.
     axes = np.random.default_rng(5).standard_normal((BINS, AXES + 8)).astype(np.float32)
     for _ in range(6):
-        axes = np.linalg.qr(tf.T @ (tf @ axes))[0]
-    turn = np.linalg.svd(tf @ axes, full_matrices=False)[2]
+        axes = np.linalg.qr(c.T @ (c @ axes))[0]
+    turn = np.linalg.svd(c @ axes, full_matrices=False)[2]
     axes = (axes @ turn.T)[:, :AXES].astype(np.float32)
     spread = s.std(0)
     space = Space(idf, axes, s.mean(0), np.where(spread > 1e-6, 0.35 / np.maximum(spread, 1e-6) / np.sqrt(10), 0).astype(np.float32))
-    space.vectors, space.labels = space.project(c, s), np.array(labels, dtype=np.float32)
+    space.vectors, space.labels = space.placed(c, s), np.array(labels, dtype=np.float32)
     space.prior = float(space.labels.mean())
     return space
 
