@@ -464,3 +464,16 @@ def test_no_document_of_a_large_family_is_lost(spark, monkeypatch):
         for a, b in found:
             home = {k: min(home[a], home[b]) if v in (home[a], home[b]) else v for k, v in home.items()}
         assert max(list(home.values()).count(v) for v in set(home.values())) >= 0.99 * len(need)
+
+
+def test_rows_of_one_component_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, looked = 600, []
+    rows = rng.integers(1, 255, (n, 91))
+    rows[:, :61] = rows[0, :61]  # one run of 46 shingles and more joins all
+    rows[300] = rows[10]
+    rows[300, 43:48] = 255 - rows[10, 43:48]  # an edit that leaves no such run
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: looked.append(x.shape[0] * x.shape[1]) or count(x))
+    found = substrings._Group(np.arange(n), rows.astype(np.uint8), 46, 0.8).links(0, 1)
+    assert found[0] == (300, 10) and all(300 in pair for pair in found) and 0 < sum(looked) < n * n // 50

@@ -541,19 +541,27 @@ class _Group:
     def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether a stretch of ``span`` shingles around the place of i is similar to what j has around its own, up to DRIFT off."""
         out = np.zeros(len(i), dtype=bool)
+        starts = self.width - self.span + 1
         for at in range(0, len(i), 4096):
-            mine, other = self.query[i[at : at + 4096], : self.width], self.content[j[at : at + 4096], : self.width]
-            hit = mine == other
-            padded = np.pad(other, ((0, 0), (DRIFT, DRIFT)))
+            # A column for each pair, so that shifted places lie one after another.
+            mine = np.ascontiguousarray(self.query[i[at : at + 4096], : self.width].T)
+            padded = np.zeros((self.width + 2 * DRIFT, mine.shape[1]), dtype=np.uint8)
+            padded[DRIFT : DRIFT + self.width] = self.content[j[at : at + 4096], : self.width].T
+            hit = mine == padded[DRIFT : DRIFT + self.width]
             for shift in (*range(DRIFT), *range(DRIFT + 1, 2 * DRIFT + 1)):
-                same = mine == padded[:, shift : shift + self.width]
-                pair = same[:, 1:] & same[:, :-1]  # one byte alone may be equal by chance
-                hit[:, 1:] |= pair
-                hit[:, :-1] |= pair
-            sums = np.zeros((len(hit), self.width + 1), dtype=np.int16)
-            np.cumsum(hit, axis=1, out=sums[:, 1:])
-            k = np.arange(self.width - self.span + 1)
-            out[at : at + 4096] = ((sums[:, k + self.span] - sums[:, k] >= self.need) & hit[:, k] & hit[:, k + self.span - 1]).any(axis=1)
+                same = mine == padded[shift : shift + self.width]
+                pair = same[1:] & same[:-1]  # one byte alone may be equal by chance
+                hit[1:] |= pair
+                hit[:-1] |= pair
+            # Hits of all stretches of ``span``: stretches of 1, 2, 4 and so on, put together.
+            held, length, done, hits = hit.view(np.uint8), 1, 0, np.zeros((starts, hit.shape[1]), dtype=np.uint16 if self.span > 255 else np.uint8)
+            while length <= self.span:
+                if self.span & length:
+                    hits += held[done : done + starts]
+                    done += length
+                held = held[:-length] + held[length:] if self.span <= 255 else held[:-length].astype(np.uint16) + held[length:]
+                length *= 2
+            out[at : at + 4096] = ((hits >= self.need) & hit[:starts] & hit[self.span - 1 :]).any(axis=0)
         return out
 
     def links(self, part: int, parts: int) -> list[tuple[int, int]]:
@@ -567,10 +575,21 @@ class _Group:
         for at in range(0, len(rows), step):
             i = rows[at : at + step]
             end = int(i[-1])
-            same = (self.query[i][:, None, :] == self.content[None, :end, :]).view(np.uint64)
-            hits = np.bitwise_count(same).sum(axis=2, dtype=np.int16)
-            a, j = np.nonzero((hits >= floor) & (self.lab[None, :end] != self.lab[i][:, None]) & (np.arange(end)[None, :] < i[:, None]))
-            order = np.lexsort((j, -hits[a, j], self.lab[j], a))
+            # Pairs of one component need no look: rows of the largest meet only those of others.
+            large = np.bincount(self.lab[:end]).argmax() if end else 0
+            inner, others = self.lab[i] == large, np.flatnonzero(self.lab[:end] != large)
+            found_a, found_j, found_hits = [], [], []
+            for some, cols in ((np.flatnonzero(inner), others), (np.flatnonzero(~inner), np.arange(end))):
+                for k in range(0, len(some) if len(cols) else 0, max(1, PAIRS // max(1, len(cols)))):
+                    who = some[k : k + max(1, PAIRS // len(cols))]
+                    same = (self.query[i[who]][:, None, :] == self.content[cols][None, :, :]).view(np.uint64)
+                    hits = np.bitwise_count(same).sum(axis=2, dtype=np.int16)
+                    x, y = np.nonzero((hits >= floor) & (self.lab[cols][None, :] != self.lab[i[who]][:, None]) & (cols[None, :] < i[who][:, None]))
+                    found_a.append(who[x])
+                    found_j.append(cols[y])
+                    found_hits.append(hits[x, y])
+            a, j, hits = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (found_a, found_j, found_hits))
+            order = np.lexsort((j, -hits, self.lab[j], a))
             a, j = a[order], j[order]
             for rest in (False, True):  # the most alike of each component first, all others where these do not do
                 if not len(a):
@@ -741,6 +760,7 @@ def verify(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], span
     """(start, end, other start, other end, similarity) in shingles of passages that really agree."""
     out: list[tuple[int, int, int, int, float]] = []
     todo = [(max(0, start), min(len(a) - 1, end), d) for start, end, d in sorted(found, reverse=True)]
+    shared: _Shared | None = None
     while todo:
         start, end, d = todo.pop()
         if end - start + 1 < span:
@@ -751,15 +771,16 @@ def verify(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], span
         # The diagonal may drift by the edits inside the passage; look as far around as these allow.
         drift = 8 + int((end - start + 1) * (1 - similar))
         low, high = max(0, start - d - drift), min(len(b), end - d + drift + 1)
-        hit = np.isin(a[start : end + 1], b[low:high])
+        shared = shared or _Shared(a, b, [(start, end, d), *todo], similar)
+        hit = shared.within(start, end + 1, low, high)
         # Two passages of similarity s share 2s / (1 + s) of their shingles; else an unbroken run may still do.
         for share in (2 * similar / (1 + similar), 0.95, 1.0):
-            run = longest_run(hit, share)
+            run = longest_run(hit, share) if _enough(hit, share, span) else None
             if run is None or run[1] - run[0] + 1 < span:
                 run = None
                 break
             x, y = start + run[0], start + run[1]
-            if place := _counterpart(a[x : y + 1], b, low, high, share, span, similar):
+            if place := _counterpart(shared, x, y + 1, low, high, share, span, similar):
                 out.append((x, y, *place))
                 break
         else:
@@ -773,15 +794,63 @@ def verify(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], span
     return sorted(taken)
 
 
-def _counterpart(passage: np.ndarray, b: np.ndarray, low: int, high: int, share: float, span: int, similar: float) -> tuple[int, int, float] | None:
-    """(start, end, similarity) of what the passage repeats within b[low:high]."""
-    back = longest_run(np.isin(b[low:high], passage), share)
+class _Shared:
+    """The shingles of two texts as small numbers, of the stretches alone that ``found`` can lead to."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], similar: float):
+        drift = [8 + int((end - start + 1) * (1 - similar)) for start, end, _ in found]
+        self.from_a, to_a = min(x[0] for x in found), max(x[1] for x in found) + 1
+        self.from_b = max(0, min(start - d - far for (start, _, d), far in zip(found, drift)))
+        to_b = max(0, max(end - d + far + 1 for (_, end, d), far in zip(found, drift)))
+        a, b = a[self.from_a : to_a], b[self.from_b : to_b]
+        kinds, ids = np.unique(np.concatenate((a, b)), return_inverse=True)
+        self.a, self.b = ids[: len(a)], ids[len(a) :]
+        self.marks = np.zeros((2, len(kinds)), dtype=bool)
+
+    def mine(self, start: int, end: int) -> np.ndarray:
+        return self.a[start - self.from_a : end - self.from_a]
+
+    def theirs(self, low: int, high: int) -> np.ndarray:
+        return self.b[max(0, low - self.from_b) : max(0, high - self.from_b)]
+
+    def _in(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        mark = self.marks[0]
+        mark[y] = True
+        out = mark[x]
+        mark[y] = False
+        return out
+
+    def within(self, start: int, end: int, low: int, high: int) -> np.ndarray:
+        """Which shingles of the first text's stretch the second's has."""
+        return self._in(self.mine(start, end), self.theirs(low, high))
+
+    def back(self, start: int, end: int, low: int, high: int) -> np.ndarray:
+        """Which shingles of the second text's stretch the first's has."""
+        return self._in(self.theirs(low, high), self.mine(start, end))
+
+    def alike(self, start: int, end: int, low: int, high: int) -> float:
+        """Similarity of the stretches' sets of shingles."""
+        self.marks[:] = False
+        self.marks[0, self.mine(start, end)] = True
+        self.marks[1, self.theirs(low, high)] = True
+        both, either = int(np.count_nonzero(self.marks[0] & self.marks[1])), int(np.count_nonzero(self.marks[0] | self.marks[1]))
+        self.marks[:] = False
+        return both / either
+
+
+def _enough(hit: np.ndarray, share: float, span: int) -> bool:
+    """Whether the hits are enough for a stretch of ``span``."""
+    return np.count_nonzero(hit) >= share * span - 1e-6
+
+
+def _counterpart(shared: _Shared, start: int, end: int, low: int, high: int, share: float, span: int, similar: float) -> tuple[int, int, float] | None:
+    """(start, end, similarity) of what the passage from start to end repeats between low and high of the other text."""
+    hit = shared.back(start, end, low, high)
+    back = longest_run(hit, share) if _enough(hit, share, span) else None
     if back is None or back[1] - back[0] + 1 < span:
         return None
     u, v = low + back[0], low + back[1]
-    p, q = np.unique(passage), np.unique(b[u : v + 1])
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    alike = both / (len(p) + len(q) - both)
+    alike = shared.alike(start, end, u, v + 1)
     return (u, v, alike) if alike >= similar else None
 
 
