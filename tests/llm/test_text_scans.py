@@ -477,3 +477,48 @@ def test_rows_of_one_component_are_not_compared(monkeypatch):
     monkeypatch.setattr(np, "bitwise_count", lambda x: looked.append(x.shape[0] * x.shape[1]) or count(x))
     found = substrings._Group(np.arange(n), rows.astype(np.uint8), 46, 0.8).links(0, 1)
     assert found[0] == (300, 10) and all(300 in pair for pair in found) and 0 < sum(looked) < n * n // 50
+
+
+def test_small_keys_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(7)
+    keys, content = [], []
+    for k in range(300):
+        n = int(rng.integers(3, 12))
+        rows = np.repeat(rng.integers(1, 255, (1, 91)), n, axis=0)
+        for row in rows:  # some are edited within reach, some share a short line only, some stand at a text's end
+            row[rng.choice(91, rng.integers(0, 6), replace=False)] = rng.integers(1, 255)
+            if rng.random() < 0.3:
+                row[: rng.integers(0, 45)] = rng.integers(1, 255)
+            if rng.random() < 0.2:
+                row[rng.integers(60, 91) :] = 0
+        keys += [k] * n
+        content.append(rows)
+    tag, content = np.array(keys), np.concatenate(content).astype(np.uint8)
+    doc = rng.integers(0, 200, len(tag))
+    apart = []
+    for k in range(300):
+        at = np.flatnonzero(tag == k)
+        apart += [(int(at[i]), int(at[j])) for i, j in substrings._Group(doc[at], content[at], 46, 0.8).links(0, 1)]
+    calls = []
+    similar = substrings._Group.similar
+    monkeypatch.setattr(substrings._Group, "similar", lambda self, i, j: calls.append(len(i)) or similar(self, i, j))
+    assert sorted(substrings._Group(doc, content, 46, 0.8, tag).links_of_tags()) == sorted(apart) and len(apart) > 100
+    assert len(calls) <= 2
+
+
+def test_passages_are_linked_whatever_the_batches(spark, monkeypatch):
+    """Keys that go over several Arrow batches, alone or beside others, lose nothing; smaller batches tie a few more."""
+    rng = random.Random(15)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, " ".join(fresh(30) + m + fresh(30))) for k, m in enumerate(m for size in (3, 9, 40, 5) for m in family(rng, fresh, size, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for batch, small in (("1000", 32), ("7", 32), ("7", 2)):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        monkeypatch.setattr(substrings, "SMALL", small)
+        monkeypatch.setattr(substrings, "gathered", (lambda b, n, f=substrings.gathered: f(b, 7)) if batch == "7" else substrings.gathered)
+        found.append(sorted(tuple(r) for r in substrings.repeated_passages(docs).collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found[0]) > 40
+    assert {(r[0], r[3]) for r in found[0]} <= {(r[0], r[3]) for r in found[1]} and found[1] == found[2]

@@ -16,8 +16,14 @@ def plain_words(text: bytes) -> list[bytes]:
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word of ``plain_words``, in order."""
-    inside = np.frombuffer(text.translate(PLAIN), dtype=np.uint8) != 32
-    turn = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edges(np.frombuffer(text.translate(PLAIN), dtype=np.uint8))
+
+
+def edges(plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each run of plain bytes other than spaces."""
+    inside = np.zeros(len(plain) + 2, dtype=bool)
+    np.not_equal(plain, 32, out=inside[1:-1])
+    turn = (inside[1:] != inside[:-1]).nonzero()[0]
     return turn[::2], turn[1::2]
 
 
